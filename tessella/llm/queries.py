@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .minhash import op8_minhash_near_dedup
+from .substring import op10_substring_dedup
+from .suffix import op1_suffix_array_dedup
+from .tokens import op4_token_files
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op4_token_files": op4_token_files,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
