@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language import op7_language_id
 from .minhash import op8_minhash_near_dedup
+from .neighbours import op5_ivf_pq
 from .packing import op2_best_fit_packing
 from .simhash import op6_simhash
 from .substring import op10_substring_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op5_ivf_pq": op5_ivf_pq,
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
