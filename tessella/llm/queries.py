@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op9_html_main_text
 from .language import op7_language_id
 from .minhash import op8_minhash_near_dedup
 from .neighbours import op5_ivf_pq
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
+    "op9_html_main_text": op9_html_main_text,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
