@@ -90,6 +90,13 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     return frame.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
 
 
+def with_known_language(docs: DataFrame) -> DataFrame:
+    """The docs that are not rejected, all columns as they are, a null lang as predicted; learned from their own lang."""
+    found = classify(docs, fit(docs)).where("NOT rejected")
+    lang = F.coalesce("lang", "lang_pred").alias("lang")
+    return found.select(*(lang if c == "lang" else c for c in docs.columns))
+
+
 def fold() -> F.Column:
     """Whether a document is held out: crc32 of its doc_id as text is divisible by five."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))

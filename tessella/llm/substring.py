@@ -47,7 +47,7 @@ def _own(batches):
 
 def _windows(width: int):
     """From documents and their repeated anchors: every window that holds one (the extension of each anchor)."""
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int32()), ("doc_id", pa.int64()), ("sha", pa.string()), ("start", pa.int32())])
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32())])
 
     def run(batches):
         for part, data, offsets in text_chunks(batches):
@@ -66,13 +66,13 @@ def _windows(width: int):
             window = np.flatnonzero((np.cumsum(marks[:-1]) > 0) & (np.arange(len(hashes)) + width <= of[owner + 1]))
             one, two = mix64(_ONE.runs(hashes, window, window + width)), mix64(_TWO.runs(hashes, window, window + width))
             owner = owner[window]
-            ids, shas = (part.column(part.schema.get_field_index(n)).take(pa.array(owner)) for n in ("doc_id", "sha"))
+            ids = part.column(part.schema.get_field_index("doc_id")).take(pa.array(owner))
             place = (window - of[owner]).astype(np.int32)
             for k in range(0, len(window), 1 << 16):
                 to = slice(k, k + (1 << 16))
-                yield pa.record_batch([pa.array(signed(one[to])), pa.array((two[to] >> _U(32)).astype(np.uint32).view(np.int32)), ids.slice(k, 1 << 16), shas.slice(k, 1 << 16), pa.array(place[to])], schema=schema)
+                yield pa.record_batch([pa.array(signed(one[to])), pa.array((two[to] >> _U(32)).astype(np.uint32).view(np.int32)), ids.slice(k, 1 << 16), pa.array(place[to])], schema=schema)
 
-    return run, "w1 long, w2 int, doc_id long, sha string, start int"
+    return run, "w1 long, w2 int, doc_id long, start int"
 
 
 def _cut(width: int):
@@ -105,14 +105,15 @@ def drop_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     96-bit hash of all its words. Of documents with one word sequence only the smallest doc_id takes part.
 
     Null or empty text: no words. Fewer than `width` words: nothing removed. Null doc_id: never removed from and
-    never a reason to remove. Rows that repeat a doc_id are one document. Empty table: no rows.
+    never a reason to remove. Rows that repeat a doc_id are one document; where their texts differ, one of them takes
+    part. Empty table: no rows.
     """
     if width < PERIOD:
         raise ValueError(f"width must be at least {PERIOD}")
     docs = texts(docs)
     scan = materialize(docs.mapInArrow(_scan, "doc_id long, n_words long, sha string"), "scan")
     first = scan.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    reps = scan.where(f"n_words >= {width} AND doc_id IS NOT NULL").join(first, "sha").where("doc_id = first").select("doc_id", "sha").distinct()
+    reps = scan.where(f"n_words >= {width} AND doc_id IS NOT NULL").join(first, "sha").where("doc_id = first").groupBy("doc_id").agg(F.min("sha").alias("sha"))
 
     def anchors(data, offsets):
         starts, ends, of = word_spans(data, offsets)
@@ -125,9 +126,9 @@ def drop_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     run, schema = _windows(width)
     windows = materialize(zone.mapInArrow(run, schema), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    starts = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "sha").agg(F.collect_set("start").alias("starts"))
+    starts = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     run, schema = _cut(width)
-    cut = zone.select("doc_id", "sha", "text").join(starts, ["doc_id", "sha"]).mapInArrow(run, schema).dropDuplicates(["doc_id", "sha"])
+    cut = zone.select("doc_id", "sha", "text").join(starts, "doc_id").mapInArrow(run, schema).dropDuplicates(["doc_id", "sha"])
     out = scan.join(first, "sha").join(cut, ["doc_id", "sha"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= width)
     return out.select(

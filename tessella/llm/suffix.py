@@ -215,8 +215,8 @@ def _each_window(width: int):
 
 
 def _cut(width: int):
-    """n_removed, n_spans, the hash and the bytes of what is left."""
-    schema = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    """n_removed, n_spans and the hash of what is left; `kept` is what is left with the characters whole that lost only a part."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def run(batches):
         for part, data, offsets in text_chunks(batches):
@@ -229,20 +229,23 @@ def _cut(width: int):
                 np.add.at(marks, start, 1)
                 np.add.at(marks, start + count - 1 + width, -1)
                 gone = np.cumsum(marks[:-1]) > 0
-                left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                bytes_ = np.frombuffer(raw, np.uint8)
+                left = bytes_[~gone].tobytes()
+                lead = np.flatnonzero((bytes_ & 0xC0) != 0x80)
+                whole = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, len(raw)))) if len(lead) else gone
                 spans = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-                out.append((int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left))
+                out.append((int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), bytes_[~whole].tobytes().decode("utf-8", "replace")))
             yield pa.record_batch([part.column(part.schema.get_field_index(x)) for x in ("doc_id", "sha")] + [pa.array([r[j] for r in out], f.type) for j, f in enumerate(list(schema)[2:])], schema=schema)
 
-    return run, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    return run, "doc_id long, sha string, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def repeated_bytes(docs: DataFrame, width: int = 200, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (doc_id, text; other columns are ignored).
 
     Texts are UTF-8 bytes. A byte goes if a `width`-byte string over it also starts anywhere else in the collection,
-    the same document included. with_text adds `cut` (the remaining bytes where some were removed and some stay, else
-    null). Equal texts are sorted once; as their strings all start elsewhere too, they go whole from `width` bytes on.
+    the same document included. with_text adds `cut` (where bytes were removed the remaining text, in which characters
+    that lost only a part are whole; else null) and `sha` (sha256 of the text). Equal texts are sorted once; as their strings all start elsewhere too, they go whole from `width` bytes on.
     A string of two texts is under one anchor in both; anchors and fragments that are there once are left out before
     anything is sorted. An anchor with over 512 different fragments has its windows counted by 128-bit hashes
     instead, over all executors, so that no task holds a crowded anchor.
@@ -290,7 +293,19 @@ def repeated_bytes(docs: DataFrame, width: int = 200, with_text: bool = False) -
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     ]
-    return out.select(*columns, *([F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("cut"), "sha"] if with_text else []))
+    return out.select(*columns, *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("cut"), "sha"] if with_text else []))
+
+
+def without_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
+    """docs with the repeated strings gone from text, and n_chars anew where there is such a column.
+
+    Rows and other columns stay; a null text stays null. Everything else is as in repeated_bytes.
+    """
+    found = repeated_bytes(docs, width, with_text=True).where("cut IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("cut").alias("_cut")).dropDuplicates(["_id", "_sha"])
+    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha")), "left")
+    text = F.coalesce("_cut", "text")
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_cut").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
