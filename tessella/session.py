@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +36,17 @@ def local_session(**conf: str) -> SparkSession:
     """A small local session for tests and benchmarks."""
     cpus = os.environ.get("BENCH_CPUS", "8")
     return build_session(f"local[{cpus}]", 8, **({"spark.driver.memory": "8g"} | conf))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each SparkContext, for the operators that run Python there."""
+    context = spark.sparkContext
+    if getattr(context, "_tessella_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="tessella-code-"), "tessella_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    context._tessella_shipped = True
