@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 #: Bytes of text that a numpy step looks at together; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -60,6 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as the empty one."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

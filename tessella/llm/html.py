@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 #: Made pages that the trees are fitted on, and their seed.
 PAGES, SEED = 500, 11
@@ -399,6 +399,7 @@ def extract(pages: DataFrame) -> DataFrame:
     stay as they are. Empty table: no rows. The trees are fitted on the driver, on made pages, and sent to executors;
     they have a fixed size.
     """
+    ship(pages.sparkSession)
     trees = fitted()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 

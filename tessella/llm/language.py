@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import ship, table, texts
 
 #: The bound of the sample that dictionaries are made of: documents of each language, and bytes of each document and dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 4_096, 65_536
@@ -58,6 +58,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
     Null text, or text without letters: `und`, score 0, rejected. So is everything if no language was learned.
     """
+    ship(docs.sparkSession)
     langs = list(dictionaries)
     extra = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
     kept = [c for c in docs.columns if c not in {n for n, _ in extra}]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, ship, table
 
 #: The bound of the sample that centroids and codebooks are fitted on.
 SAMPLE = 16_384
@@ -146,6 +146,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     whose length isn't the most common (of equals, the longest). A repeated vec_id is one vector: the smallest. Empty table or no query: no rows.
     """
     spark = vectors.sparkSession
+    ship(spark)
     asked = queries
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(asked, F.lit(False)).alias("asked"))
     rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector"))).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asked").alias("asked"))
