@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import re
-from array import array
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, texts
+from .common import Rolling, mix64, ship, table, texts
 from .tokens import crc, tokenizer_path
 
 #: Weight of a piece's score in a segmentation's log probability; a larger one keeps closer to the best segmentation.
@@ -21,23 +18,62 @@ THETA = 0.002
 BYTES = -80.0
 #: Words whose lattices a Python worker keeps, and characters encoded together.
 CACHED, TOGETHER = 200_000, 4 << 20
+#: Words filtered together.
+BLOCK = 16_384
 #: Seed of the registered query.
 SEED = 20_240_601
 
 _SPACE = "\u2581"
 #: Stands for a mark that the text has itself; no word has two marks.
 _MARK = _SPACE * 2
-_WORD = re.compile(rf"{_SPACE}?[^{_SPACE}]{{1,48}}|{_SPACE}")
 _U = np.uint64
+_POINTS = Rolling(0xBF58476D1CE4E5B9 | 1)
+
+
+def _spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A key for each run of code points."""
+    return mix64(_POINTS.runs(mix64(points.astype(_U) + _U(1)), starts, ends) + (ends - starts).astype(_U))
+
+
+class _Table:
+    """Numbers by 64-bit key; two direct tables, the second for what collides in the first."""
+
+    def __init__(self, keys: np.ndarray):
+        for seed in range(64):
+            with np.errstate(over="ignore"):
+                mixed = mix64(keys + _U(seed))
+            self.seed = seed
+            self.first, self.second = np.full(1 << 18, -1, np.int32), np.full(1 << 20, -1, np.int32)
+            a, b = (mixed >> _U(46)).astype(np.int64), (mixed & _U((1 << 20) - 1)).astype(np.int64)
+            self.first[a] = np.arange(len(keys))
+            rest = np.flatnonzero(self.first[a] != np.arange(len(keys)))
+            self.second[b[rest]] = rest
+            if len(np.unique(b[rest])) == len(rest):
+                break
+        else:
+            raise ValueError("keys collide")
+        self.keys = keys
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        with np.errstate(over="ignore"):
+            mixed = mix64(keys + _U(self.seed))
+        at = self.first[(mixed >> _U(46)).astype(np.int64)]
+        out = np.where((at >= 0) & (self.keys[at] == keys), at, -1)
+        miss = np.flatnonzero(out < 0)
+        at = self.second[(mixed[miss] & _U((1 << 20) - 1)).astype(np.int64)]
+        out[miss] = np.where((at >= 0) & (self.keys[at] == keys[miss]), at, -1)
+        return out
 
 
 class Lattice:
     """Forward sums of the words' piece lattices, and backward samples for many words at once.
 
     A text has its spaces replaced by the model's mark and one mark put before it; marks that a text has itself are
-    spelled in bytes, so that decoding is exact. It is cut before every mark and after 48 characters, as no piece that
-    is used reaches over such a cut; the segmentations of the parts are independent, so filtering each word once gives
-    the distribution over the text. Any other character without a piece is spelled in bytes.
+    spelled in bytes, so that decoding is exact. It is cut before every mark, after 48 characters, and between a letter
+    and a character that follows a letter in no piece; no piece that is used reaches over such a cut. The segmentations
+    of the parts are independent, so filtering each word once gives the distribution over the text. Any other
+    character without a piece is spelled in bytes.
     """
 
     def __init__(self, model: str):
@@ -47,56 +83,77 @@ class Lattice:
         self.size = tool.get_piece_size()
         self.pieces = [tool.id_to_piece(i) for i in range(self.size)]
         usable = [i for i in range(self.size) if not (tool.is_control(i) or tool.is_unknown(i) or tool.is_byte(i) or tool.is_unused(i)) and _SPACE not in self.pieces[i][1:]]
-        self.id = {self.pieces[i]: (i, THETA * tool.get_score(i)) for i in usable}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if tool.is_byte(i)}
         self.raw = [b""] * self.size
         for i in usable:
             self.raw[i] = self.pieces[i].replace(_SPACE, " ").encode()
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
-        self.longest = max(map(len, self.id))
+        self.longest = max(len(self.pieces[i]) for i in usable)
+        self.score = np.array([THETA * tool.get_score(i) for i in usable])
+        self.number = np.array(usable, np.int64)
+        points = np.array([ord(c) for i in usable for c in self.pieces[i]], np.int64)
+        ends = np.cumsum([len(self.pieces[i]) for i in usable])
+        self.table = _Table(_spans(points, ends - np.diff(ends, prepend=0), ends))
+        after = {b for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:]) if a.isalpha() and not b.isalpha()}
+        apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
+        self.cut = re.compile(rf"{_SPACE}?[^\W\d_]{{1,48}}(?=[{apart}{_SPACE}]|$)|{_SPACE}?[^{_SPACE}]{{1,48}}|{_SPACE}")
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ends, self.first = array("q"), array("q", [0])  # of a word: its last node; of a node: its first incoming edge
+        self.ends, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)  # of a word: its last node; of a node: its first incoming edge
         # of an edge: cumulative probability, node before, piece or character, spelled or not
-        self.edges = (array("d"), array("q"), array("i"), array("b"))
-        self.arrays = None
-
-    def _filter(self, word: str) -> None:
-        """Add a word's nodes and incoming edges with their backward probabilities."""
-        spelled_mark = word == _MARK
-        n = 1 if spelled_mark else len(word)
-        sums = [0.0] * (n + 1)
-        base = len(self.first) - 1
-        for j in range(n + 1):
-            found = []
-            for i in range(max(0, j - self.longest), j if not spelled_mark else 0):
-                piece = self.id.get(word[i:j])
-                if piece:
-                    found.append((sums[i] + piece[1], i, piece[0], 0))
-            if j and (not found or found[-1][1] != j - 1):
-                found.append((sums[j - 1] + BYTES, j - 1, ord(word[j - 1]), 1))
-            if found:
-                top = max(s[0] for s in found)
-                weights = [math.exp(s[0] - top) for s in found]
-                total = sum(weights)
-                sums[j] = top + math.log(total)
-                for c, edge in zip(accumulate(weights), found):
-                    for to, x in zip(self.edges, (c / total, base + edge[1], edge[2], edge[3])):
-                        to.append(x)
-            self.first.append(len(self.edges[0]))
-        self.place[word] = len(self.ends)
-        self.ends.append(base + n)
-
-    @staticmethod
-    def words(text: str) -> list[str]:
+        self.edges = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+
+    def _filter(self, words: list[str]) -> None:
+        """Add words' nodes and incoming edges with their backward probabilities, all words of a block together."""
+        plain = [_SPACE if w == _MARK else w for w in words]
+        length = np.fromiter(map(len, plain), np.int64, len(plain))
+        points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        start = np.cumsum(length) - length
+        word = np.repeat(np.arange(len(plain)), length)
+        within = np.arange(len(points)) - start[word]
+        node = np.arange(len(points)) + word + 1  # in this block, of the place after a character
+        reach = np.arange(1, self.longest + 1)
+        piece = np.full((len(points), self.longest), -1, np.int64)
+        for k in reach:
+            at = np.flatnonzero(within >= k - 1)
+            piece[at, k - 1] = self.table.find(_spans(points, at - k + 1, at + 1))
+        literal = np.repeat([w == _MARK for w in words], length)
+        piece[literal] = -1
+        spelled = piece[:, 0] < 0
+        gain = np.where(piece >= 0, self.score[piece], -np.inf)
+        gain[spelled, 0] = BYTES
+        sums = np.zeros(len(points) + len(plain))
+        chance = np.empty(gain.shape)
+        order = np.argsort(within, kind="stable")
+        cuts = np.searchsorted(within[order], np.arange(within.max() + 2))
+        for a, b in zip(cuts, cuts[1:]):
+            at = order[a:b]
+            whole = gain[at] + sums[np.maximum(node[at][:, None] - reach, 0)]
+            top = whole.max(1)
+            weight = np.exp(whole - top[:, None])
+            total = np.cumsum(weight, 1)
+            chance[at] = total / total[:, -1:]
+            sums[node[at]] = top + np.log(total[:, -1])
+        rows, k = np.nonzero(gain > -np.inf)
+        nodes, known = len(self.first) - 1, len(self.edges[0])
+        odd = spelled[rows] & (k == 0)
+        made = (chance[rows, k], nodes + node[rows] - k - 1, np.where(odd, points[rows], self.number[piece[rows, k]]), odd)
+        self.edges = tuple(np.concatenate(x) for x in zip(self.edges, made))
+        count = np.zeros(len(points) + len(plain), np.int64)
+        np.add.at(count, node[rows], 1)
+        self.first = np.concatenate([self.first, known + np.cumsum(count)])
+        self.place.update(zip(words, range(len(self.ends), len(self.ends) + len(words))))
+        self.ends = np.concatenate([self.ends, nodes + start + np.arange(len(plain)) + length])
+
+    def words(self, text: str) -> list[str]:
         """The parts of a text, marks in place of spaces."""
         out = []
         for k, part in enumerate(text.split(_SPACE)):
             out += [_MARK] if k else []
-            out += _WORD.findall(part.replace(" ", _SPACE) if k else _SPACE + part.replace(" ", _SPACE))
+            out += self.cut.findall(part.replace(" ", _SPACE) if k else _SPACE + part.replace(" ", _SPACE))
         return out
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
@@ -104,13 +161,10 @@ class Lattice:
         if len(self.place) > CACHED:
             self.clear()
         split = [self.words(t) for t in texts]
-        for w in {w for s in split for w in s}:
-            if w not in self.place:
-                self._filter(w)
-                self.arrays = None
-        if self.arrays is None:
-            self.arrays = tuple(map(np.array, (*self.edges, self.first, self.ends)))
-        chance, before, piece, spelled, first, ends = self.arrays
+        new = [w for w in {w for s in split for w in s} if w not in self.place]
+        for at in range(0, len(new), BLOCK):
+            self._filter(new[at : at + BLOCK])
+        (chance, before, piece, spelled), first, ends = self.edges, self.first, self.ends
         every = [w for s in split for w in s]
         if not every:
             return [np.zeros(0, np.uint32) for _ in texts]
@@ -200,6 +254,8 @@ def encode_sampled(docs: DataFrame, model: str, seed: int = SEED) -> DataFrame:
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
     """doc_id, text from doc_id, ids (array<int>): exactly the text that was encoded; null ids give null."""
 
+    ship(rows.sparkSession)
+
     def run(batches):
         tool = lattice(model)
         for batch in batches:

@@ -7,6 +7,7 @@ from .language import op7_language_id
 from .minhash import op8_minhash_near_dedup
 from .neighbours import op5_ivf_pq
 from .packing import op2_best_fit_packing
+from .pieces import op3_sampled_pieces
 from .simhash import op6_simhash
 from .substring import op10_substring_dedup
 from .suffix import op1_suffix_array_dedup
@@ -15,6 +16,7 @@ from .tokens import op4_token_files
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_sampled_pieces": op3_sampled_pieces,
     "op4_token_files": op4_token_files,
     "op5_ivf_pq": op5_ivf_pq,
     "op6_simhash": op6_simhash,
