@@ -135,6 +135,11 @@ def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFram
     return label
 
 
+def guard(people: DataFrame) -> DataFrame:
+    """id, surname for the guard: names of one word and addresses have none."""
+    return people.select("id", F.when(F.col("name_norm").contains(" "), F.col("surname")).alias("surname"))
+
+
 def guarded_clusters(pairs: DataFrame, people: DataFrame) -> DataFrame:
     """id, cluster: unions from the strongest pair down, refused where two surnames would meet.
 
@@ -143,7 +148,7 @@ def guarded_clusters(pairs: DataFrame, people: DataFrame) -> DataFrame:
     """
     ship(people.sparkSession)
     label = components(pairs, people)
-    named = people.select("id", "surname").join(label, "id")
+    named = guard(people).join(label, "id")
     rows = pairs.join(label.withColumnRenamed("id", "id_l"), "id_l").select("component", "id_l", "id_r", "probability").withColumn("surname", F.lit(None).cast("string"))
     alone = named.select("component", F.col("id").alias("id_l"), F.lit(None).cast(dict(people.dtypes)["id"]).alias("id_r"), F.lit(None).cast("double").alias("probability"), "surname")
     kind = dict(people.dtypes)["id"]
@@ -172,7 +177,7 @@ def guarded_clusters(pairs: DataFrame, people: DataFrame) -> DataFrame:
 
 def surname_violations(clusters: DataFrame, people: DataFrame) -> DataFrame:
     """Clusters with more than one surname; there must be none."""
-    return clusters.join(people, "id").groupBy("cluster").agg(F.count_distinct("surname").alias("surnames")).where("surnames > 1")
+    return clusters.join(guard(people), "id").groupBy("cluster").agg(F.count_distinct("surname").alias("surnames")).where("surnames > 1")
 
 
 def canonical_entities(mentions: DataFrame) -> DataFrame:
