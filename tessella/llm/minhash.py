@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, materialize, mix64, signed, table, text_chunks, texts, word_hashes, word_spans
@@ -16,10 +16,12 @@ BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Two-bit coordinates that may differ before a pair is set aside: at similarity 0.8 the mean is 19.2, this is 6.4 standard deviations more.
 MAX_DIFFER = 45
+#: One-bit coordinates of the second sketch, and how many may differ: at similarity 0.8 the mean is 102.4, this is 4.5 standard deviations more.
+SKETCH, SKETCH_DIFFER = 1024, 146
 
 _U = np.uint64
 _STEP = Rolling(0x9E3779B97F4A7C15 | 1)
-_SHIFT = np.arange(COORDINATES, dtype=np.uint32)[:, None]
+_SHIFT = np.arange(SKETCH, dtype=np.uint32)[:, None]
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -40,13 +42,14 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndar
         yield np.unique(mix64(total + _U(size)))
 
 
-def circulant_signature(shingles: np.ndarray) -> np.ndarray:
+def circulant_signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """All coordinates from two permutations of the 32-bit ring: the first reorders the shingles once, the second is
     looked up at places shifted by the coordinate's number."""
-    low = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
+    low = np.full(coordinates, 0xFFFFFFFF, np.uint32)
     first = (shingles >> _U(32)).astype(np.uint32)
-    for at in range(0, len(first), 1024):
-        x = first[None, at : at + 1024] + _SHIFT
+    step = max(1, 131_072 // coordinates)
+    for at in range(0, len(first), step):
+        x = first[None, at : at + step] + _SHIFT[:coordinates]
         x ^= x >> np.uint32(16)
         x *= np.uint32(0x7FEB352D)
         x ^= x >> np.uint32(15)
@@ -133,33 +136,64 @@ def _close(x: str, y: str, percent: int) -> F.Column:
     return (100 * least >= percent * most) & (differ <= MAX_DIFFER)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose full sets are similar enough."""
-    pairs = materialize(pairs, "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    wanted = used.join(classes.select("class_id", "s1", "s2"), "class_id").withColumnRenamed("class_id", "doc_id")
+def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(class_id, shingles) of the classes in ids (class_id, s1, s2), from their whole texts. The merge hint keeps the plan alike at every size."""
     run, schema = _full_sets(width)
-    sets = docs.join(used.withColumnRenamed("class_id", "doc_id"), "doc_id").mapInArrow(run, schema)
-    sets = materialize(sets.join(wanted, ["doc_id", "s1", "s2"]).select("doc_id", "shingles").dropDuplicates(["doc_id", "shingles"]), "sets")
+    wanted = ids.withColumnRenamed("class_id", "doc_id")
+    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(run, schema)
+    return materialize(sets.join(wanted, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("class_id"), "shingles"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of class ids whose full sets are similar enough."""
     run, schema = _linked(percent)
     return (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
         .mapInArrow(run, schema)
         .distinct()
     )
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(class_id, own): how many of a class's shingles no other class in `sets` has."""
+    schema = pa.schema([("shingle", pa.int64()), ("class_id", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            ids, found = batch.column(0), batch.column(1)
+            for i in range(batch.num_rows):
+                s = np.frombuffer(found[i].as_buffer(), np.int64)
+                for at in range(0, len(s), 1 << 16):
+                    part = s[at : at + (1 << 16)]
+                    yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), ids[i].as_py()))], schema=schema)
+
+    rows = sets.select("class_id", "shingles").mapInArrow(run, "shingle long, class_id long")
+    lone = rows.groupBy("shingle").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("last")).where("class_id = last")
+    return lone.groupBy("class_id").agg(F.count("*").alias("own"))
+
+
+def _sketched(batches):
+    """class_id and the 1024 one-bit coordinates of its set, in 16 longs."""
+    for batch in batches:
+        found = [circulant_signature(np.frombuffer(x.as_buffer(), _U), SKETCH) & np.uint32(1) for x in batch.column(1)]
+        if found:
+            bits = np.packbits(np.array(found, np.uint8), axis=1).view(np.int64)
+            yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH // 64))], names=["class_id", *(f"z{j}" for j in range(SKETCH // 64))])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
     Words are lower-cased (A-Z) and split at ASCII white space; a document is its set of distinct `width`-word
     shingles, or of its one shorter sequence. Documents are linked when 100 * intersection >= percent * union.
     Equal sets are one class. Classes meet in bands of the circulant signature. Within a bucket each class is first
-    checked against the bucket's smallest; what these verified links join is one component, and only classes that a
-    bucket holds outside its main component are then checked against the others there. So a group of copies costs
-    rows in proportion to its size, and yet no link between two components goes unchecked. A link of exactly
-    similarity 0.8 fails to share any of 32 bands of 4 with probability 5e-8.
+    checked against the one with the fewest shingles of its own; what these verified links join is one component, and
+    only classes that a bucket holds outside its main component are then checked against the others there. A pair is
+    left out only where sizes, signatures, or shingles that no other class has rule the similarity out, and is looked
+    at in one of its buckets. So a group of
+    copies costs rows in proportion to its size, and yet no link between two components goes unchecked. A link of
+    exactly similarity 0.8 fails to share any of 32 bands of 4 with probability 5e-8.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Null doc_id: linked with nothing, component_id
     null, kept. Rows that repeat a doc_id share its component. Empty table: no rows.
@@ -169,23 +203,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     prints = materialize(docs.mapInArrow(run, schema), "prints")
     real = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
     ids = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    rep = ids.withColumnRenamed("class_id", "doc_id").join(real, ["doc_id", "s1", "s2"])
-    classes = materialize(rep.dropDuplicates(["doc_id", "s1", "s2"]).withColumnRenamed("doc_id", "class_id"), "classes")
+    columns = ["n_shingles", "keys", *(f"w{j}" for j in range(4))]
+    first = real.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").alias("class_id"), *columns)).alias("at"))
+    classes = materialize(first.select("s1", "s2", "at.*"), "classes")
     keyed = classes.select("class_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("class_id").alias("center"), F.max("class_id").alias("other")).where("center < other").drop("other")
+    shared = keyed.groupBy("key").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most").select("key")
     buckets = materialize(keyed.join(shared, "key").join(classes.drop("keys", "s1", "s2"), "class_id"), "buckets")
-    facts = classes.drop("keys", "s1", "s2")
-    star = buckets.where("class_id != center").dropDuplicates(["class_id", "center"]).alias("m").join(facts.alias("c"), F.col("m.center") == F.col("c.class_id"))
-    star = star.where(_close("m", "c", percent)).select(F.col("m.center").alias("a"), F.col("m.class_id").alias("b"))
-    links = materialize(_verified(star, docs, classes, width, percent), "links")
+    sets = _sets_of(classes.select("class_id", "s1", "s2").join(buckets.select("class_id").distinct(), "class_id"), docs, width)
+    common = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+    buckets = buckets.join(_own_shingles(sets), "class_id", "left").withColumn("common", common).drop("own")
+    buckets = materialize(buckets.where(100 * F.col("common") >= percent * F.col("n_shingles")), "buckets")
+    same = F.least("m.common", "c.common")
+    able = (100 * same >= percent * (F.col("m.n_shingles") + F.col("c.n_shingles") - same)) & _close("m", "c", percent)
+    centers = buckets.groupBy("key").agg(F.max_by(F.struct(*buckets.columns), F.struct(F.col("common") / F.col("n_shingles"), F.col("class_id"))).alias("at")).select("at.*")
+    star = buckets.alias("m").join(centers.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.class_id") != F.col("c.class_id")) & able)
+    star = materialize(star.select(F.col("c.class_id").alias("a"), F.col("m.class_id").alias("b")).distinct(), "pairs")
+    links = materialize(_verified(star, sets, percent), "links")
     label = materialize(components(links), "labels")
     named = buckets.join(label.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     counts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = materialize(named.join(main, "key"), "mixed")
-    cross = mixed.where("component != main").alias("m").join(mixed.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.component") != F.col("c.component")) & _close("m", "c", percent))
+    left = mixed.select("class_id").distinct()
+    sketches = sets.join(left, "class_id").select("class_id", "shingles").mapInArrow(_sketched, "class_id long, " + ", ".join(f"z{j} long" for j in range(SKETCH // 64)))
+    mixed = materialize(mixed.join(sketches, "class_id").join(classes.select("class_id", "keys"), "class_id"), "mixed")
+    differ = sum((F.bit_count(F.col(f"m.z{j}").bitwiseXOR(F.col(f"c.z{j}"))) for j in range(SKETCH // 64)), F.lit(0))
+    once = F.array_min(F.array_intersect("m.keys", "c.keys")) == F.col("m.key")
+    cross = mixed.where("component != main").alias("m").join(mixed.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.component") != F.col("c.component")) & able & (differ <= SKETCH_DIFFER) & once)
     cross = cross.select(F.least("m.class_id", "c.class_id").alias("a"), F.greatest("m.class_id", "c.class_id").alias("b")).distinct()
-    more = _verified(cross, docs, classes, width, percent)
+    more = _verified(materialize(cross, "pairs"), sets, percent)
     label = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
     out = prints.select("doc_id", "n_shingles", "s1", "s2").join(ids, ["s1", "s2"], "left").join(label, "class_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id"))
@@ -193,6 +239,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group of near duplicates, the smallest doc_id; all columns stay.
+
+    Rows that repeat a doc_id are one document: the first by text stays. Rows without doc_id all stay.
+    """
+    kept = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"))
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("_n = 1")
+    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table with shingles of four words at similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
