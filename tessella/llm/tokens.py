@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +18,39 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialize, table, texts
 
-#: Parts of texts whose ids a Python worker keeps.
-CACHED = 300_000
+#: Parts of texts whose ids a Python worker keeps; beyond that those go that were met once since the last time.
+CACHED = 700_000
 #: Characters encoded together.
 TOGETHER = 1 << 20
 #: The doc_id that stands for null in a .doc file.
 NO_ID = -(1 << 63)
 
 
+#: What may stand in a text that is cut here: below U+0180, letters and numbers are these, and nothing composes.
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+_WIDE = re.compile("[\u0180-\U0010ffff\x85\xa0]")
+_SPACED = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_LOWERED = re.compile(rf"'(?:[sdmt]|ll|ve|re)|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+
+
+class _Places(dict):
+    """Numbers of parts; a part that is new gets the next number and is listed."""
+
+    def __init__(self, known: Iterable[str] = ()):
+        super().__init__((p, k) for k, p in enumerate(known))
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self.new.append(part)
+        self[part] = place = len(self)
+        return place
+
+
 class Encoder:
     """Ids of texts, as tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    Both public tokenizers cut every text at a single space or line feed between two other characters before they
-    merge anything, so the parts between are encoded once and kept. Texts with other white space at such places are
-    encoded whole.
+    Both public tokenizers cut every text by a pattern before they merge anything, so parts are encoded once and kept.
+    Texts with characters from U+0180 on, rare white space or special tokens are encoded whole.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -40,68 +61,69 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _parts(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = "\n\n" + parts[0]
-        return parts
-
-    def _plain(self, part: str) -> str | None:
-        """What to encode for a part; None if the text can't be cut around it."""
-        if not self.spaced:
-            return part
-        if part.startswith("\n\n"):
-            part = text = part[2:]
-        elif part.startswith("\n"):
-            part, text = part[1:], part
-        else:
-            text = " " + part
-        return text if part and not part[0].isspace() and not part[-1].isspace() else None
-
-    def _learn(self, parts: Iterable[str]) -> None:
-        new = [p for p in set(parts) if p not in self.place]
-        if not new:
-            return
-        plain = [self._plain(p) for p in new]
-        found = iter(self.tokenizer.encode_batch([p for p in plain if p is not None], add_special_tokens=False))
-        ids = [[] if p is None else next(found).ids for p in plain]
-        lengths = np.array([-1 if p is None else len(x) for p, x in zip(plain, ids)], np.int64)
-        self.place.update(zip(new, range(len(self.length), len(self.length) + len(new))))
-        sizes = np.maximum(lengths, 0)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+        self.place = _Places()
+        self.flat, self.start, self.length, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _purge(self) -> None:
+        """Keep the parts met more than once, or none if those are too many."""
+        keep = self.met > 1
+        if keep.sum() > CACHED // 2:
+            return self.clear()
+        sizes = self.length[keep]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes) + np.repeat(self.start[keep], sizes)]
+        self.start, self.length, self.met = ends - sizes, sizes, np.zeros(len(sizes), np.int64)
+        self.place = _Places([p for p, k in zip(self.place, keep.tolist()) if k])
+
+    def _parts(self, text: str) -> list[str] | None:
+        """The parts, or None if the text must be encoded whole."""
+        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or not text.isascii() and _WIDE.search(text):
+            return None
+        return _SPACED.findall(text) if self.spaced else _LOWERED.findall(text.lower())
+
+    def _learn(self) -> None:
+        """Encode the new parts."""
+        new, self.place.new = self.place.new, []
+        if new:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.length, self.met = np.concatenate([self.length, lengths]), np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of every text with `end` after them."""
         if len(self.place) > CACHED:
-            self.clear()
-        parts = [self._parts(t) if t else [] for t in texts]
-        every = [p for x in parts for p in x]
-        self._learn(every)
-        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
-        bounds = np.cumsum([0, *map(len, parts)])
+            self._purge()
+        parts = [self._parts(t) for t in texts]
+        every = chain.from_iterable(x for x in parts if x)
+        at = np.fromiter(map(self.place.__getitem__, every), np.int64, sum(len(x) for x in parts if x))
+        self._learn()
+        self.met += np.bincount(at, minlength=len(self.met))
         sizes = self.length[at]
-        odd = np.add.reduceat(np.concatenate([sizes < 0, [False]]).astype(np.int64), np.minimum(bounds[:-1], len(every))) > 0 if len(texts) else []
-        sizes = np.maximum(sizes, 0)
         ends = np.cumsum(sizes)
-        whole = self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.start[at], sizes)]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(self.start[at], sizes)]
         ends = np.concatenate([[0], ends])
+        bounds = np.cumsum([0, *(len(x or ()) for x in parts)])
         last = np.array([end], np.uint32)
         out = []
-        for i, text in enumerate(texts):
-            if parts[i] and odd[i]:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                ids = whole[ends[bounds[i]] : ends[bounds[i + 1]]]
-            out.append(np.concatenate([ids, last]))
+        for text, own, a, b in zip(texts, parts, bounds, bounds[1:]):
+            found = ids[ends[a] : ends[b]] if own is not None else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            out.append(np.concatenate([found, last]))
         return out
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, spaced: bool) -> Encoder:
+    """This process's encoder, kept from task to task."""
+    if (path, spaced) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, spaced] = Encoder(path, spaced)
+    return _ENCODERS[path, spaced]
+
+
 def tokenizer_path(name: str) -> str:
     """The file of a public tokenizer; TESSELLA_TOKENIZERS names another folder."""
     folder = os.environ.get("TESSELLA_TOKENIZERS")
@@ -114,7 +136,7 @@ def tokenizer_path(name: str) -> str:
 
 def encoded(batches, path: str, spaced: bool, end: int):
     """(rows of the batch, their ids) for about TOGETHER characters at a time."""
-    encoder = Encoder(path, spaced)
+    tool = encoder(path, spaced)
     for batch in batches:
         texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
         at = 0
@@ -123,7 +145,7 @@ def encoded(batches, path: str, spaced: bool, end: int):
             while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
                 size += len(texts[stop])
                 stop += 1
-            yield batch.slice(at, stop - at), encoder.encode(texts[at:stop], end)
+            yield batch.slice(at, stop - at), tool.encode(texts[at:stop], end)
             at = stop
 
 
@@ -132,7 +154,14 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _write(folder: str, path: str, spaced: bool, end: int):
+def id_kind(path: str, end: int) -> str:
+    """The smallest of two and four unsigned bytes that holds every id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
+
+
+def _write(folder: str, path: str, spaced: bool, end: int, kind: str):
     """Each task writes three files under a name of its own; only files named in its row count, so retries do no harm."""
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -145,7 +174,7 @@ def _write(folder: str, path: str, spaced: bool, end: int):
                 if not opened:
                     files[0].create_dir(files[1])
                     opened = [files[0].open_output_stream(f"{base}.{x}") for x in ("ids", "off", "doc")]
-                for out, values in zip(opened, (np.concatenate(ids).astype("<u4"), (n_tokens + np.cumsum([len(x) for x in ids]) - [len(x) for x in ids]).astype("<i8"), part.column(part.schema.get_field_index("doc_id")).fill_null(NO_ID).to_numpy().astype("<i8"))):
+                for out, values in zip(opened, (np.concatenate(ids).astype(kind), (n_tokens + np.cumsum([len(x) for x in ids]) - [len(x) for x in ids]).astype("<i8"), part.column(part.schema.get_field_index("doc_id")).fill_null(NO_ID).to_numpy().astype("<i8"))):
                     out.write(values.tobytes())
                 n_docs += len(ids)
                 n_tokens += sum(map(len, ids))
@@ -169,20 +198,21 @@ def _mapped(files, path: str, kind: str) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, path: str, spaced: bool, end: int) -> DataFrame:
-    """Write ids in ascending doc_id order (null first); a row per shard: shard, path, n_docs, n_tokens, base.
+    """Write ids in ascending doc_id order (null first); a row per shard: shard, path, n_docs, n_tokens, kind, base.
 
-    A shard is path.ids (unsigned 32-bit), path.off (64-bit offsets there, one more than documents) and path.doc
+    A shard is path.ids (unsigned integers of kind `kind`, 16-bit where the vocabulary fits), path.off (64-bit offsets there, one more than documents) and path.doc
     (64-bit doc_ids). base, the ids in the shards before, is a prefix sum over as many rows as there are partitions.
     """
     spark = docs.sparkSession
-    run, schema = _write(fresh_path(spark, "tokens"), path, spaced, end)
+    kind = id_kind(path, end)
+    run, schema = _write(fresh_path(spark, "tokens"), path, spaced, end, kind)
     ordered = texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     shards = sorted(materialize(ordered.mapInArrow(run, schema), "shards").collect())
     base, rows = 0, []
     for s in shards:
-        rows.append((*s, base))
+        rows.append((*s, kind, base))
         base += s.n_tokens
-    return spark.createDataFrame(rows, schema + ", base long")
+    return spark.createDataFrame(rows, schema + ", kind string, base long")
 
 
 def read_token_files(spark: SparkSession, shards: DataFrame, folder: str) -> DataFrame:
@@ -193,7 +223,7 @@ def read_token_files(spark: SparkSession, shards: DataFrame, folder: str) -> Dat
         files, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, offsets, docs = (_mapped(files, f"{row['path']}.{x}", k) for x, k in (("ids", "<u4"), ("off", "<i8"), ("doc", "<i8")))
+                ids, offsets, docs = (_mapped(files, f"{row['path']}.{x}", k) for x, k in (("ids", row["kind"]), ("off", "<i8"), ("doc", "<i8")))
                 for at in range(0, len(docs), 10_000):
                     o, d = np.asarray(offsets[at : at + 10_001]), np.asarray(docs[at : at + 10_000])
                     yield pa.record_batch([pa.array(d, mask=d == NO_ID), pa.array(row["base"] + o[:-1]), pa.array(np.diff(o)), pa.array([crc(ids[a:b]) for a, b in zip(o, o[1:])], pa.int64())], schema=schema)
