@@ -17,8 +17,8 @@ PARTS, WORDS = 16, 256
 PROBE, PROBE_LEAST = 0.6, 16
 #: Candidates by table distance that are measured exactly, for each neighbour wanted.
 RERANK = 40
-#: Vectors of a list in one task.
-BLOCK = 8_192
+#: Index entries in one task; entries are dealt by a hash, so each block has its share of every list.
+BLOCK = 16_384
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -60,19 +60,24 @@ class Index:
         residual = x - self.coarse[at]
         return at, np.stack([_nearest(residual[:, p], b) for p, b in zip(self.parts, self.books)], 1).astype(np.uint8)
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        """The nearest lists of each query."""
-        d = (self.coarse * self.coarse).sum(1)[None] - 2 * q @ self.coarse.T
-        return np.argpartition(d, self.probes - 1, 1)[:, : self.probes]
-
-    def table(self, q: np.ndarray, at: int) -> np.ndarray:
-        """Squared distances of each query's residual to every codeword, by part."""
-        r = q - self.coarse[at]
-        out = np.full((len(q), len(self.parts), WORDS), np.inf)
+    def bias(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What of a coded vector's squared distance to any query depends on the vector alone."""
+        out = np.zeros(len(at))
         for j, (p, b) in enumerate(zip(self.parts, self.books)):
-            out[:, j, : len(b)] = (r[:, p] ** 2).sum(1)[:, None] - 2 * r[:, p] @ b.T + (b * b).sum(1)[None]
+            word = b[code[:, j]]
+            out += (word * word).sum(1) + 2 * (self.coarse[at][:, p] * word).sum(1)
         return out
 
+    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A query's squared distances to the lists it looks into (infinite for others), and its products with all codewords by part."""
+        near = ((q - self.coarse) ** 2).sum(1)
+        if self.probes < len(near):
+            near[np.argpartition(near, self.probes)[self.probes :]] = np.inf
+        products = np.zeros((len(self.parts), WORDS))
+        for j, (p, b) in enumerate(zip(self.parts, self.books)):
+            products[j, : len(b)] = b @ q[p]
+        return near, products
+
 
 def _usable(v: Column) -> Column:
     """Not null or zero, and all components finite."""
@@ -85,44 +90,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _coded(index: Index):
-    schema = pa.schema([("list", pa.int32()), ("class_id", pa.int64()), ("code", pa.binary())])
+    schema = pa.schema([("list", pa.int32()), ("class_id", pa.int64()), ("code", pa.binary()), ("bias", pa.float64())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 at, code = index.code(_matrix(batch.column(1)))
-                yield pa.record_batch([pa.array(at.astype(np.int32)), batch.column(0), pa.array([c.tobytes() for c in code], pa.binary())], schema=schema)
-
-    return run, "list int, class_id long, code binary"
-
-
-def _probed(index: Index):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                lists = index.probe(_matrix(batch.column(1)))
-                rows = np.repeat(np.arange(batch.num_rows), lists.shape[1])
-                yield pa.record_batch([pa.array(lists.ravel().astype(np.int32)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], names=["list", "query_id", "vector"])
+                yield pa.record_batch([pa.array(at.astype(np.int32)), batch.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(index.bias(at, code))], schema=schema)
 
-    return run, "list int, query_id long, vector array<double>"
+    return run, "list int, class_id long, code binary, bias double"
 
 
 def _scanned(index: Index, most: int):
-    """The best `most` codes of one block of a list for each query that looks into it."""
+    """The best `most` codes of one block for each query, by its distance tables."""
     schema = pa.schema([("query_id", pa.int64()), ("class_id", pa.int64()), ("near", pa.float64())])
 
     def run(queries: pa.Table, codes: pa.Table) -> pa.Table:
         out = [schema.empty_table()]
         if queries.num_rows and codes.num_rows:
-            at = codes.column("list")[0].as_py()
             code = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
-            ids, asked = codes.column("class_id").to_numpy(), queries.column("query_id").to_numpy()
-            vectors = _matrix(queries.column("vector").combine_chunks())
+            lists, ids, bias = (codes.column(c).to_numpy() for c in ("list", "class_id", "bias"))
             part = np.arange(code.shape[1])
-            for i in range(0, len(vectors), 64):
-                for q, near in zip(asked[i : i + 64], (t[part, code].sum(1) for t in index.table(vectors[i : i + 64], at))):
-                    best = np.argpartition(near, most - 1)[:most] if len(near) > most else np.arange(len(near))
-                    out.append(pa.table([np.full(len(best), q), ids[best], near[best]], schema=schema))
+            for q, vector in zip(queries.column("query_id").to_numpy(), _matrix(queries.column("vector").combine_chunks())):
+                away, products = index.tables(vector)
+                at = np.flatnonzero(np.isfinite(away[lists]))
+                near = away[lists[at]] + bias[at] - 2 * products[part, code[at]].sum(1)
+                best = np.argpartition(near, most - 1)[:most] if len(near) > most else np.arange(len(near))
+                out.append(pa.table([np.full(len(best), q), ids[at[best]], near[best]], schema=schema))
         return pa.concat_tables(out)
 
     return run, "query_id long, class_id long, near double"
@@ -140,7 +134,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     Equal vectors are one entry of the index, which keeps the k + 1 smallest vec_ids of each, as no query can use more;
     so a vector that a third of all rows have is one entry too. Every entry is in the index; centroids and codebooks
     are fitted on SAMPLE entries with the smallest hashes. Table distances choose RERANK * k entries of the PROBE
-    nearest lists, which are then measured exactly. With few vectors every list is looked into.
+    nearest lists, which are then measured exactly; a block gives twice its share of them. With few vectors every
+    list is looked into.
 
     Vectors that are null, zero, or hold nulls, NaN or infinities, and rows without vec_id take no part; nor do vectors
     whose length isn't the most common (of equals, the longest). A repeated vec_id is one vector: the smallest. Empty table or no query: no rows.
@@ -162,14 +157,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     count = classes.count()
     sample = np.array([r["vector"] for r in classes.orderBy(F.xxhash64("class_id", F.lit(7)), "class_id").select("vector").limit(SAMPLE).collect()])
     index = Index(sample, count)
-    blocks = max(1, 4 * count // (BLOCK * len(index.coarse)))
+    blocks = -(-count // BLOCK)
     run, schema = _coded(index)
     codes = classes.select("class_id", "vector").mapInArrow(run, schema).withColumn("block", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int"))
-    run, schema = _probed(index)
     mine = rows.where("asked").select(F.col("vec_id").alias("query_id"), "vector")
-    probes = mine.mapInArrow(run, schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    run, schema = _scanned(index, RERANK * k)
-    found = probes.groupBy("list", "block").cogroup(codes.groupBy("list", "block")).applyInArrow(run, schema)
+    asking = mine.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    run, schema = _scanned(index, 2 * RERANK * k // blocks + k)
+    found = asking.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(run, schema)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "class_id"))).where(f"n <= {RERANK * k}").select("query_id", "class_id")
     best = materialize(best, "candidates")
     exact = best.join(mine.withColumnRenamed("vector", "q"), "query_id").join(classes, "class_id")
