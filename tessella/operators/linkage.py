@@ -190,9 +190,9 @@ def canonical_entities(mentions: DataFrame) -> DataFrame:
     freq = mentions.groupBy("cluster", "surface").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
     mail = F.col("surface").rlike(f"^{T.EMAIL}$")
     proper = F.col("surface").rlike(r"^[A-Z][A-Za-z.'\-]+(?:\s+[A-Z][A-Za-z.'\-]+){0,3}$")
-    rank = F.struct(proper.alias("a"), F.col("surface").contains(" ").alias("b"), (~mail).alias("c"), F.col("n"), F.length("surface").alias("d"), (-F.col("ord")).alias("e"))
+    rank = F.struct((~proper).alias("a"), (~F.col("surface").contains(" ")).alias("b"), mail.alias("c"), (-F.col("n")).alias("n"), (-F.length("surface")).alias("d"), "ord")
     surfaces = F.transform(F.array_sort(F.collect_list(F.struct("ord", "surface"))), lambda x: x["surface"])
-    names = freq.groupBy("cluster").agg(F.max_by("surface", rank).alias("canonical_name"), surfaces.alias("aliases"))
+    names = freq.groupBy("cluster").agg(F.min_by("surface", rank).alias("canonical_name"), surfaces.alias("aliases"))
     facts = mentions.groupBy("cluster").agg(F.count("*").cast("int").alias("mention_count"), F.array_sort(F.collect_set("source")).alias("source_types"), F.when(F.every(F.col("entity_type") == "bot"), "bot").otherwise(F.min(F.when(F.col("entity_type") != "bot", F.col("entity_type")))).alias("entity_type"))
     out = names.join(facts, "cluster").withColumn("canonical_id", T.mint_id("c", F.col("entity_type"), F.col("cluster").cast("string")))
     return out.withColumn("emails", F.filter("aliases", lambda x: x.rlike(f"^{T.EMAIL}$")))

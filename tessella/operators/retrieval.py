@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.functions.udfs import porter
+from tessella.session import ship
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, position (from 0), length of the document in terms."""
-    listed = docs.select("doc_id", T.words(F.col("text")).alias("terms"))
-    return listed.select("doc_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+def postings(docs: DataFrame, stems: bool = False) -> DataFrame:
+    """doc_id, term, position (from 0), length of the document in terms; terms without marks and as stems, if asked for."""
+    listed = docs.select("doc_id", T.words(T.plain_latin(F.col("text")) if stems else F.col("text")).alias("terms"))
+    flat = listed.select("doc_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+    if not stems:
+        return flat
+    ship(docs.sparkSession)
+    known = flat.select("term").distinct().withColumn("stem", porter("term"))
+    return flat.join(known, "term").select("doc_id", "length", "position", F.col("stem").alias("term"))
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -58,6 +70,30 @@ def top(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def hashed(texts: list[str], size: int = 64) -> np.ndarray:
+    """Unit vectors of hashed words: an encoder that needs no model."""
+    out = np.zeros((len(texts), size), np.float32)
+    for i, text in enumerate(texts):
+        for word in text.lower().split():
+            h = zlib.crc32(word.encode())
+            out[i, h % size] += 1 if h >> 31 else -1
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def embed(docs: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed, width: int = 2000) -> DataFrame:
+    """doc_id, vector of title and the first `width` characters of the body, by an encoder of lists of texts (model inputs are that long)."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                vectors = np.asarray(encoder([t or "" for t in batch.column(1).to_pylist()]), np.float32)
+                yield pa.record_batch([batch.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], names=["doc_id", "vector"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", F.concat_ws("\n", "title", F.substring("body", 1, width)).alias("t")).mapInArrow(run, f"doc_id {kind}, vector array<float>")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

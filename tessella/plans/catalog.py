@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions.udfs import jaro_winkler
-from tessella.operators import agent, evaluation, extraction, graph, linkage, retrieval, temporal
+from tessella.operators import agent, evaluation, extraction, graph, linkage, retrieval, service, temporal
 from tessella.session import ship
 from tessella.streaming import events as S
 
@@ -333,6 +333,35 @@ def snippet_windows(spark, d):
     return long.select("doc_id", retrieval.snippet(F.col("text"), F.slice(T.words(F.col("text")), 1, 3), 1000).alias("snippet"))
 
 
+@query("""WITH a AS (SELECT item_id AS query_id, [item_id * 3, item_id, -1] AS ids FROM benchmark)
+SELECT query_id, position, doc_id, source FROM (SELECT query_id, unnest(ids) AS doc_id, generate_subscripts(ids, 1) - 1 AS position FROM a) JOIN documents USING (doc_id)""")
+def ordered_multiget(spark, d):
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.col("item_id") * 3, "item_id", F.lit(-1).cast("long")).alias("ids"))
+    return service.in_order(asked, _t(spark, d, "documents").select("doc_id", "source")).select("query_id", F.col("position").cast("long").alias("position"), "doc_id", "source")
+
+
+@query(f"""WITH {_BM25}, rk AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM al QUALIFY rank <= 4),
+b AS (SELECT query_id, doc_id, 0 AS turn, rank FROM rk UNION ALL SELECT item_id, item_id, 1, 1 FROM benchmark), o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY turn, rank) = 1)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY turn, rank) AS rank FROM o""")
+def merged_hits(spark, d):
+    first = retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d), 4).select("query_id", "doc_id", "rank")
+    second = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("doc_id"), F.lit(1).alias("rank"))
+    return agent.merge_hits(first, second).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def stemmed_postings(spark, d):
+    """How often each stem stands in documents."""
+    return retrieval.postings(_t(spark, d, "documents"), stems=True).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query()
+def document_vectors(spark, d):
+    """Hashed vectors of documents; unit length."""
+    docs = _t(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
+    return retrieval.embed(docs).select("doc_id", F.round(retrieval.dot(F.col("vector"), F.col("vector")), 3).alias("norm"))
+
+
 # --- evaluation ----------------------------------------------------------------------------------
 
 
