@@ -18,6 +18,8 @@ from tessella.session import ship
 #: Bytes of text that a numpy step looks at together; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own, kept in the session."""
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,12 +51,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table written by materialize() once nothing reads it any more."""
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def clean(spark: SparkSession) -> None:
+    """Delete what the operators of this process have written to the shared folder, once no result needs it any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,6 +43,9 @@ def test_edited_texts_and_likeness(docs, texts):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert abs(got[i].near_edited - (1 - (a ^ b).bit_count() / 128)) < 1e-12 and abs(got[i].near_next - (1 - (a ^ c).bit_count() / 128)) < 1e-12
         assert prints.setdefault(t, a) == a
+    every = {r.fingerprint for r in got.values()}
+    for r in got.values():
+        assert r.n_near == sum(f != r.fingerprint and (int(f, 16) ^ int(r.fingerprint, 16)).bit_count() <= 3 for f in every)
     long = [got[i] for i, t, *_ in texts if t and len(t) > 600]
     assert np.median([r.near_edited for r in long]) > np.median([r.near_next for r in long]) + 0.1
 

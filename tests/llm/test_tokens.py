@@ -1,3 +1,4 @@
+import os
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessella.llm import packing, pieces, tokens
+from tessella.llm import common, packing, pieces, tokens
 
 BYTES, WORDS, PIECES = (tokens.tokenizer_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ALPHABET = ["a", "Be", " ", "  ", "\n", "'s", "'", "É", "9", "12", "!", "<|endoftext|>", "<|", "\t", "\xa0", "́", "ß", "İ", "'ll", "\x1c", "Σ", "ſ", "½", "木", "😀", "▁", "\r\n"]
@@ -114,6 +115,14 @@ def test_pieces_over_a_table(docs, texts):
     assert other != again and all(r.round_trip for r in pieces.sampled_digest(docs, PIECES).collect())
 
 
+def test_clean_deletes_what_was_written(spark, docs):
+    shards = tokens.write_token_files(docs, WORDS, False, 1)
+    path = shards.first().path
+    assert os.path.exists(path + ".ids")
+    common.clean(spark)
+    assert not os.path.exists(path + ".ids")
+
+
 def test_empty_and_odd(empty, odd):
     assert tokens.token_files(empty, WORDS).count() == packing.pack(empty, BYTES).count() == pieces.sampled_digest(empty, PIECES).count() == 0
     assert tokens.token_files(odd, WORDS).count() == packing.pack(odd, BYTES).count() == pieces.sampled_digest(odd, PIECES).count() == 8
