@@ -119,8 +119,10 @@ def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFram
 
     Each round is checkpointed, in the folder of spark.checkpoint.dir where there is one.
     """
-    spark = pairs.sparkSession
-    kept = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else (lambda df: df.persist())
+    context, folder = pairs.sparkSession.sparkContext, pairs.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    kept = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.persist())
     both = kept(pairs.select(F.col("id_l").alias("id"), F.col("id_r").alias("other")).unionByName(pairs.select(F.col("id_r").alias("id"), F.col("id_l").alias("other"))).distinct())
     label = kept(nodes.select("id").distinct().withColumn("component", F.col("id")))
     for _ in range(rounds):
