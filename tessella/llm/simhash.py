@@ -105,12 +105,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.withColumn("next_text", F.lead("text").over(window)).where("last = 0").drop("last", "range")
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs
-    (doc_id, text; other columns are ignored).
+def fingerprint_edits(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near for every row of
+    docs (doc_id, text; other columns are ignored).
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many of the next document's.
-    Likeness is the share of equal bits. Null texts are empty. A null doc_id comes last; rows that repeat a doc_id
+    Likeness is the share of equal bits. n_near counts the other fingerprints of documents that differ in at most
+    `radius` bits. Null texts are empty. A null doc_id comes last; rows that repeat a doc_id
     follow each other by text; a single row is its own next. Empty table: no rows.
     """
     rows = with_next(texts(docs)).withColumn("n_chars", F.length("text").cast("long"))
@@ -123,8 +124,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     found = materialize(fingerprints(kinds, keys, "t"), "fingerprints")
     wide = found.groupBy(*keys[:-1]).agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"), F.max("n").alias("n"))
     of = found.where("kind = 0").groupBy(F.col("k1").alias("k2"), F.col("n_chars").alias("n_next")).agg(F.max("fingerprint").alias("next_fingerprint"))
-    out = wide.join(of, ["k2", "n_next"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    pairs = near_fingerprints(found.where("kind = 0"), radius)
+    near = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_near"))
+    out = wide.join(of, ["k2", "n_next"]).join(near, "fingerprint", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
