@@ -16,8 +16,8 @@ from .tokens import crc, tokenizer_path
 THETA = 0.002
 #: Log weight of a character spelled in bytes, which only characters without a piece are.
 BYTES = -80.0
-#: Words whose lattices a Python worker keeps, and characters encoded together.
-CACHED, TOGETHER = 200_000, 4 << 20
+#: Words whose lattices a Python worker keeps (beyond that those go that were met once since the last time), and characters encoded together.
+CACHED, TOGETHER = 400_000, 4 << 20
 #: Words filtered together.
 BLOCK = 16_384
 #: Seed of the registered query.
@@ -35,6 +35,11 @@ def _spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix64(_POINTS.runs(mix64(points.astype(_U) + _U(1)), starts, ends) + (ends - starts).astype(_U))
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, so many as its count."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
 class _Table:
     """Numbers by 64-bit key; two direct tables, the second for what collides in the first."""
 
@@ -102,9 +107,25 @@ class Lattice:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ends, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)  # of a word: its last node; of a node: its first incoming edge
+        # of a word: its first and last node, how often it was met; of a node: its first incoming edge
+        self.base, self.ends, self.met, self.first = (np.zeros(n, np.int32) for n in (0, 0, 0, 1))
         # of an edge: cumulative probability, node before, piece or character, spelled or not
-        self.edges = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        self.edges = (np.zeros(0, np.float32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))
+
+    def _purge(self) -> None:
+        """Keep the words met more than once, or none if those are too many."""
+        keep = self.met > 1
+        if keep.sum() > CACHED // 2:
+            return self.clear()
+        base, nodes = self.base[keep].astype(np.int64), (self.ends - self.base + 1)[keep].astype(np.int64)
+        low, high = self.first[base].astype(np.int64), self.first[base + nodes].astype(np.int64)
+        incoming = np.diff(self.first)[_ranges(base, nodes)]
+        at, new = _ranges(low, high - low), np.cumsum(nodes) - nodes
+        chance, before, piece, spelled = (x[at] for x in self.edges)
+        self.edges = (chance, (before + np.repeat(new - base, high - low)).astype(np.int32), piece, spelled)
+        self.first = np.concatenate([[0], np.cumsum(incoming)]).astype(np.int32)
+        self.base, self.ends, self.met = new.astype(np.int32), (new + nodes - 1).astype(np.int32), np.zeros(len(new), np.int32)
+        self.place = {w: i for i, w in enumerate(w for w, k in zip(self.place, keep.tolist()) if k)}
 
     def _filter(self, words: list[str]) -> None:
         """Add words' nodes and incoming edges with their backward probabilities, all words of a block together."""
@@ -131,7 +152,9 @@ class Lattice:
         cuts = np.searchsorted(within[order], np.arange(within.max() + 2))
         for a, b in zip(cuts, cuts[1:]):
             at = order[a:b]
-            whole = gain[at] + sums[np.maximum(node[at][:, None] - reach, 0)]
+            near = within[at[0]] + 1  # pieces that are longer begin before the word
+            whole = np.full((len(at), self.longest), -np.inf)
+            whole[:, :near] = gain[at, :near] + sums[node[at][:, None] - reach[:near]]
             top = whole.max(1)
             weight = np.exp(whole - top[:, None])
             total = np.cumsum(weight, 1)
@@ -141,12 +164,14 @@ class Lattice:
         nodes, known = len(self.first) - 1, len(self.edges[0])
         odd = spelled[rows] & (k == 0)
         made = (chance[rows, k], nodes + node[rows] - k - 1, np.where(odd, points[rows], self.number[piece[rows, k]]), odd)
-        self.edges = tuple(np.concatenate(x) for x in zip(self.edges, made))
+        self.edges = tuple(np.concatenate([old, new.astype(old.dtype)]) for old, new in zip(self.edges, made))
         count = np.zeros(len(points) + len(plain), np.int64)
         np.add.at(count, node[rows], 1)
-        self.first = np.concatenate([self.first, known + np.cumsum(count)])
+        self.first = np.concatenate([self.first, (known + np.cumsum(count)).astype(np.int32)])
         self.place.update(zip(words, range(len(self.ends), len(self.ends) + len(words))))
-        self.ends = np.concatenate([self.ends, nodes + start + np.arange(len(plain)) + length])
+        root = nodes + start + np.arange(len(plain))
+        self.base, self.ends = (np.concatenate([old, new.astype(np.int32)]) for old, new in ((self.base, root), (self.ends, root + length)))
+        self.met = np.concatenate([self.met, np.zeros(len(plain), np.int32)])
 
     def words(self, text: str) -> list[str]:
         """The parts of a text, marks in place of spaces."""
@@ -159,7 +184,7 @@ class Lattice:
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """A segmentation of each text, drawn by its key alone: neighbours and batches make no difference."""
         if len(self.place) > CACHED:
-            self.clear()
+            self._purge()
         split = [self.words(t) for t in texts]
         new = [w for w in {w for s in split for w in s} if w not in self.place]
         for at in range(0, len(new), BLOCK):
@@ -170,24 +195,30 @@ class Lattice:
             return [np.zeros(0, np.uint32) for _ in texts]
         of = np.repeat(np.arange(len(texts)), [len(s) for s in split])
         number = np.arange(len(every)) - np.repeat(np.cumsum([0, *map(len, split)])[:-1], [len(s) for s in split])
-        node = ends[np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))]
+        at = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        self.met += np.bincount(at, minlength=len(self.met)).astype(np.int32)
+        node = ends[at]
         seed = mix64(keys[of] ^ mix64(number.astype(_U) + _U(1)))
-        taken, rows, step = [], [], 0
-        live = np.arange(len(every))
+        taken, live = [], np.arange(len(every))
         while len(live):
-            draw = (mix64(seed[live] + _U((step + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> _U(11)) * 2.0**-53
-            edge, last = first[node[live]], first[node[live] + 1] - 1
-            while (more := (edge < last) & (chance[edge] <= draw)).any():
-                edge = edge + more
-            taken.append(edge)
-            rows.append(live)
+            draw = (mix64(seed[live] + _U((len(taken) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> _U(11)) * 2.0**-53
+            at = node[live]
+            edge, last = first[at], first[at + 1] - 1
+            on = np.arange(len(live))
+            while len(on):
+                on = on[(edge[on] < last[on]) & (chance[edge[on]] <= draw[on])]
+                edge[on] += 1
+            taken.append((live, edge))
             node[live] = before[edge]
             live = live[first[node[live] + 1] > first[node[live]]]
-            step += 1
-        word, edge = np.concatenate(rows), np.concatenate(taken)
-        turn = np.concatenate([np.full(len(r), k) for k, r in enumerate(rows)])
-        order = np.lexsort((-turn, word))
-        word, edge = word[order], edge[order]
+        steps = np.zeros(len(every), np.int64)
+        for live, _ in taken:
+            steps[live] += 1
+        ends = np.cumsum(steps)
+        edge = np.empty(ends[-1], np.int64)
+        for k, (live, one) in enumerate(taken):
+            edge[ends[live] - 1 - k] = one
+        word = np.repeat(np.arange(len(every)), steps)
         ids, odd = piece[edge].astype(np.int64), spelled[edge].astype(bool)
         owner = of[word]
         if odd.any():
