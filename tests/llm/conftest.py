@@ -2,8 +2,6 @@ import random
 
 import pytest
 
-
-
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyzäéñ", k=random.Random(i + 999).randint(2, 9))) for i in range(400)]
 
 
