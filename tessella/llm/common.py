@@ -13,14 +13,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.session import ship
+from tessella import session
 
 #: Bytes of text that a numpy step looks at together; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
+#: Bytes of an Arrow batch between the JVM and Python; a longer row is a batch of its own.
+BATCH_BYTES = 16 << 20
+
 _WRITTEN: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, and keep Arrow batches small enough for several workers on an executor."""
+    session.ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own, kept in the session."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.shared.dir", None)

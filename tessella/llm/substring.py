@@ -126,6 +126,7 @@ def drop_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     run, schema = _windows(width)
     windows = materialize(zone.mapInArrow(run, schema), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = materialize(least, "least")
     starts = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     run, schema = _cut(width)
     cut = zone.select("doc_id", "sha", "text").join(starts, "doc_id").mapInArrow(run, schema).dropDuplicates(["doc_id", "sha"])
