@@ -64,7 +64,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b, distance) for every two different fingerprints in prints (fingerprint) that differ in at most `radius` bits.
 
     The 128 bits are cut into radius + 2 blocks; two such fingerprints have at least two blocks alike, so for each
-    pair of blocks there is a table keyed by them, in which fingerprints meet. Equal fingerprints are one row. Null
+    pair of blocks there is a table keyed by a hash of them, in which fingerprints meet and are compared. Equal fingerprints are one row. Null
     fingerprints take no part. No rows, no pairs.
     """
     blocks = radius + 2
@@ -72,15 +72,17 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     one = prints.where("fingerprint IS NOT NULL").select("fingerprint").distinct()
     bits = F.concat(*(F.lpad(F.conv(F.substring("fingerprint", 8 * i + 1, 8), 16, 2), 32, "0") for i in range(4)))
     cut = one.withColumn("bits", bits)
-    keys = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.concat(F.substring("bits", cuts[i] + 1, cuts[i + 1] - cuts[i]), F.substring("bits", cuts[j] + 1, cuts[j + 1] - cuts[j])).alias("key")) for i in range(blocks) for j in range(i + 1, blocks)]
-    tables = cut.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("fingerprint", "k.*")
-    shared = tables.groupBy("i", "j", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    tables = materialize(tables.join(shared, ["i", "j", "key"]), "blocks")
+    part = [F.substring("bits", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(blocks)]
+    keys = [F.xxhash64(F.lit(blocks * i + j), part[i], part[j]) for i in range(blocks) for j in range(i + 1, blocks)]
+    tables = cut.select(_half(F.col("fingerprint"), 0).alias("x"), _half(F.col("fingerprint"), 1).alias("y"), F.explode(F.array(*keys)).alias("key"))
+    shared = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    tables = materialize(tables.join(shared, "key"), "blocks")
     a, b = tables.alias("a"), tables.alias("b")
-    distance = sum((F.bit_count(_half(F.col("a.fingerprint"), k).bitwiseXOR(_half(F.col("b.fingerprint"), k))) for k in (0, 1)), F.lit(0))
-    same = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint"))
-    pairs = a.join(b, same & (distance <= radius))
-    return pairs.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"), distance.cast("int").alias("distance")).distinct()
+    distance = sum((F.bit_count(F.col(f"a.{h}").bitwiseXOR(F.col(f"b.{h}"))) for h in _HALVES), F.lit(0))
+    apart = (F.col("a.x") < F.col("b.x")) | ((F.col("a.x") == F.col("b.x")) & (F.col("a.y") < F.col("b.y")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & (distance <= radius))
+    written = lambda t: F.lower(F.concat(*(F.lpad(F.hex(f"{t}.{h}"), 16, "0") for h in _HALVES)))
+    return pairs.select(F.least(written("a"), written("b")).alias("a"), F.greatest(written("a"), written("b")).alias("b"), distance.cast("int").alias("distance")).distinct()
 
 
 def with_next(docs: DataFrame) -> DataFrame:
