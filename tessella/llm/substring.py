@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import EMPTY_SHA, anchor_rows, doc_slices, documents_with_repeats
-from .common import Rolling, materialize, mix64, signed, table, text_chunks, texts, word_hashes, word_spans
+from .common import Rolling, discard, materialize, mix64, signed, table, text_chunks, texts, word_hashes, word_spans
 
 #: A perfect difference set: for any two positions some shift below PERIOD puts both on the cover.
 PERIOD = 31
@@ -123,11 +123,15 @@ def drop_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     again = materialize(again.join(reps, "doc_id"), "anchored")
     zone = docs.join(again, "doc_id")
     zone = materialize(zone.mapInArrow(_own, zone.schema), "zone")
+    discard(again)
     run, schema = _windows(width)
     windows = materialize(zone.mapInArrow(run, schema), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = materialize(least, "least")
     starts = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    starts = materialize(starts, "starts")
+    discard(windows)
+    discard(least)
     run, schema = _cut(width)
     cut = zone.select("doc_id", "sha", "text").join(starts, "doc_id").mapInArrow(run, schema).dropDuplicates(["doc_id", "sha"])
     out = scan.join(first, "sha").join(cut, ["doc_id", "sha"], "left")
