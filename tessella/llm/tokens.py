@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, table, texts
+from .common import fresh_path, materialize, shared_dir, table, texts
 
 #: Parts of texts whose ids a Python worker keeps; beyond that those go that were met once since the last time.
-CACHED = 700_000
+CACHED = 1_000_000
 #: Characters encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 #: The doc_id that stands for null in a .doc file.
 NO_ID = -(1 << 63)
 
@@ -215,8 +215,9 @@ def write_token_files(docs: DataFrame, path: str, spaced: bool, end: int) -> Dat
     return spark.createDataFrame(rows, schema + ", kind string, base long")
 
 
-def read_token_files(spark: SparkSession, shards: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the shards."""
+def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document in the shards, which lie in the shared folder."""
+    folder = shared_dir(spark)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches):
@@ -238,7 +239,7 @@ def token_files(docs: DataFrame, path: str, spaced: bool = False, end: int = 1)
     text. Empty table: no rows. Documents are read and encoded whole.
     """
     spark = docs.sparkSession
-    return read_token_files(spark, write_token_files(docs, path, spaced, end), fresh_path(spark, "x"))
+    return read_token_files(spark, write_token_files(docs, path, spaced, end))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
