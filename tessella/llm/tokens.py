@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import uuid
 import zlib
 from collections.abc import Iterable
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize, shared_dir, table, texts
 
 #: Parts of texts whose ids a Python worker keeps; beyond that those go that were met once since the last time.
-CACHED = 1_000_000
+CACHED = 700_000
 #: Characters encoded together.
 TOGETHER = 2 << 20
+#: Seconds after which an idle Python worker gives its encoder up, so that other stages have the memory.
+IDLE_S = 4.0
 #: The doc_id that stands for null in a .doc file.
 NO_ID = -(1 << 63)
 
@@ -116,8 +119,21 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
+_IDLE: list[threading.Timer] = []
+
+
+def _rest() -> None:
+    """Give the encoder up unless it is asked for soon."""
+    timer = threading.Timer(IDLE_S, _ENCODERS.clear)
+    timer.daemon = True
+    _IDLE.append(timer)
+    timer.start()
+
+
 def encoder(path: str, spaced: bool) -> Encoder:
     """This process's encoder, kept from task to task."""
+    while _IDLE:
+        _IDLE.pop().cancel()
     if (path, spaced) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path, spaced] = Encoder(path, spaced)
@@ -137,16 +153,19 @@ def tokenizer_path(name: str) -> str:
 def encoded(batches, path: str, spaced: bool, end: int):
     """(rows of the batch, their ids) for about TOGETHER characters at a time."""
     tool = encoder(path, spaced)
-    for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
-                size += len(texts[stop])
-                stop += 1
-            yield batch.slice(at, stop - at), tool.encode(texts[at:stop], end)
-            at = stop
+    try:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            at = 0
+            while at < len(texts):
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
+                    size += len(texts[stop])
+                    stop += 1
+                yield batch.slice(at, stop - at), tool.encode(texts[at:stop], end)
+                at = stop
+    finally:
+        _rest()
 
 
 def crc(ids: np.ndarray) -> int:
