@@ -14,6 +14,8 @@ from .common import ship, table, texts
 
 #: The bound of the sample that dictionaries are made of: documents of each language, and bytes of each document and dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 4_096, 65_536
+#: Texts of fewer bytes are in the sample of a language only where longer ones leave room.
+SHORT = 200
 #: Bytes compressed at a time, so that the dictionary rather than the text before decides.
 BLOCK = 4_096
 #: A winner that is smaller by less than this share of its size is rejected, if the text has this many bytes of letters.
@@ -35,12 +37,15 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary of raw content for each language, from docs (doc_id, text, lang) whose lang is not null.
 
     The sample is bounded by documents and bytes, whatever the table's size: the documents with the smallest hashes of
-    doc_id. The driver gets at most SAMPLE_DOCS * SAMPLE_BYTES per language. Languages come by how many documents
-    they have, the most common first.
+    doc_id, those under SHORT bytes after all others. The driver gets at most SAMPLE_DOCS * SAMPLE_BYTES per language.
+    Every language with a text that has letters gets a dictionary. Languages come by how many documents they have, the
+    most common first.
     """
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long")).alias("at"))
-    known = known.where(F.octet_length("text") >= 200).select("lang", "at", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    rows = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(f"n <= {SAMPLE_DOCS}").orderBy("lang", "n").collect()
+    begin = F.substring("text", 1, SAMPLE_BYTES)
+    known = known.where(begin.rlike(r"\p{L}")).select("lang", "at", (F.octet_length("text") < SHORT).alias("short"), begin.alias("text"))
+    ranked = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("short", "at", "text"))).where(f"n <= {SAMPLE_DOCS}")
+    rows = ranked.orderBy("lang", F.desc("short"), "n").collect()  # a dictionary too large loses its beginning
     found: dict[str, list[bytes]] = {}
     for row in rows:
         found.setdefault(row["lang"], []).append(_letters(row["text"]))

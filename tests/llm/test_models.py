@@ -31,6 +31,19 @@ def test_language_edges(spark, empty):
     assert language.classify(empty, dictionaries).count() == 0
 
 
+def test_short_texts_make_dictionaries(spark):
+    own = {"de": "der hund und die katze sind nicht in dem haus", "en": "the dog and the cat are not in that house"}
+    rows_ = [(i, f"{own[lang]} {i}", lang) for i, lang in enumerate(["de", "en"] * 20)]
+    long = [(100 + i, f"{own['en']} " * 9, "en") for i in range(5)]
+    docs = spark.createDataFrame([*rows_, *long, (200, "12 34", "zz"), (201, None, "zz")], "doc_id long, text string, lang string")
+    for frame in (docs, docs.where("doc_id < 100")):
+        found = language.fit(frame)
+        assert set(found) == {"de", "en"}
+        got = language.classify(frame.where("doc_id < 100"), found).collect()
+        assert all(r.lang_pred == r.lang and not r.rejected for r in got)
+    assert language.with_known_language(docs).count() == 45
+
+
 def test_edited_texts_and_likeness(docs, texts):
     order = sorted(texts, reverse=True, key=lambda r: r[0])
     got = {r.doc_id: r for r in simhash.fingerprint_edits(docs).collect()}
