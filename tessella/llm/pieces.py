@@ -16,16 +16,17 @@ from .tokens import crc, tokenizer_path
 THETA = 0.002
 #: Log weight of a character spelled in bytes, which only characters without a piece are.
 BYTES = -80.0
-#: Words whose lattices a Python worker keeps (beyond that those go that were met once since the last time), and characters encoded together.
-CACHED, TOGETHER = 400_000, 4 << 20
-#: Words filtered together.
-BLOCK = 16_384
+#: Words whose lattices a Python worker keeps, and their edges (beyond that those go that were met once since the last time), and characters encoded together.
+CACHED, CACHED_EDGES, TOGETHER = 400_000, 16_000_000, 4 << 20
+#: Words filtered together, and characters whose pieces are looked up together; sums are carried from tile to tile.
+BLOCK, TILE = 16_384, 1 << 17
 #: Seed of the registered query.
 SEED = 20_240_601
 
 _SPACE = "\u2581"
-#: Stands for a mark that the text has itself; no word has two marks.
-_MARK = _SPACE * 2
+#: Stands for a mark that the text has itself; no word has a space.
+_MARK = " "
+_LETTER = re.compile(r"[^\W\d_]")
 _U = np.uint64
 _POINTS = Rolling(0xBF58476D1CE4E5B9 | 1)
 
@@ -75,10 +76,9 @@ class Lattice:
     """Forward sums of the words' piece lattices, and backward samples for many words at once.
 
     A text has its spaces replaced by the model's mark and one mark put before it; marks that a text has itself are
-    spelled in bytes, so that decoding is exact. It is cut before every mark, after 48 characters, and between a letter
-    and a character that follows a letter in no piece; no piece that is used reaches over such a cut. The segmentations
-    of the parts are independent, so filtering each word once gives the distribution over the text. Any other
-    character without a piece is spelled in bytes.
+    spelled in bytes, so that decoding is exact. It is cut only where no piece of the model reaches over: before every
+    run of marks, between letters and a character that follows a letter in no piece, and around characters that are in no piece of several. The segmentations of the parts are independent, so filtering
+    each word once gives the distribution over the text. Any other character without a piece is spelled in bytes.
     """
 
     def __init__(self, model: str):
@@ -87,7 +87,9 @@ class Lattice:
         tool = sentencepiece.SentencePieceProcessor(model_file=model)
         self.size = tool.get_piece_size()
         self.pieces = [tool.id_to_piece(i) for i in range(self.size)]
-        usable = [i for i in range(self.size) if not (tool.is_control(i) or tool.is_unknown(i) or tool.is_byte(i) or tool.is_unused(i)) and _SPACE not in self.pieces[i][1:]]
+        usable = [i for i in range(self.size) if not (tool.is_control(i) or tool.is_unknown(i) or tool.is_byte(i) or tool.is_unused(i))]
+        if any(_SPACE in self.pieces[i].lstrip(_SPACE) for i in usable):
+            raise ValueError("a piece has a mark after other characters")
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if tool.is_byte(i)}
         self.raw = [b""] * self.size
         for i in usable:
@@ -100,9 +102,13 @@ class Lattice:
         points = np.array([ord(c) for i in usable for c in self.pieces[i]], np.int64)
         ends = np.cumsum([len(self.pieces[i]) for i in usable])
         self.table = _Table(_spans(points, ends - np.diff(ends, prepend=0), ends))
-        after = {b for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:]) if a.isalpha() and not b.isalpha()}
-        apart = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after)
-        self.cut = re.compile(rf"{_SPACE}?[^\W\d_]{{1,48}}(?=[{apart}{_SPACE}]|$)|{_SPACE}?[^{_SPACE}]{{1,48}}|{_SPACE}")
+        after = {b for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:]) if _LETTER.match(a) and not _LETTER.match(b)}
+        joined = {c for i in usable if len(self.pieces[i]) > 1 for c in self.pieces[i]} - {_SPACE}
+        after, joined, letters = ("".join(map(re.escape, sorted(x))) for x in (after, joined, filter(_LETTER.match, joined)))
+        ahead = f"(?![{after}])" if after else ""
+        several = f"{_SPACE}*+[{letters}]++{ahead}|" if letters else ""
+        several += f"{_SPACE}*+[{joined}]++|" if joined else ""
+        self.cut = re.compile(rf"{several}{_SPACE}*+[^{_SPACE}]|{_SPACE}++", re.S)
         self.clear()
 
     def clear(self) -> None:
@@ -119,6 +125,8 @@ class Lattice:
             return self.clear()
         base, nodes = self.base[keep].astype(np.int64), (self.ends - self.base + 1)[keep].astype(np.int64)
         low, high = self.first[base].astype(np.int64), self.first[base + nodes].astype(np.int64)
+        if (high - low).sum() > CACHED_EDGES // 2:
+            return self.clear()
         incoming = np.diff(self.first)[_ranges(base, nodes)]
         at, new = _ranges(low, high - low), np.cumsum(nodes) - nodes
         chance, before, piece, spelled = (x[at] for x in self.edges)
@@ -137,22 +145,39 @@ class Lattice:
         within = np.arange(len(points)) - start[word]
         node = np.arange(len(points)) + word + 1  # in this block, of the place after a character
         reach = np.arange(1, self.longest + 1)
-        piece = np.full((len(points), self.longest), -1, np.int64)
+        literal = np.repeat([w == _MARK for w in words], length)
+        sums = np.zeros(len(points) + len(plain))
+        count = np.zeros(len(points) + len(plain), np.int64)
+        made = [self.edges]
+        nodes, known = len(self.first) - 1, len(self.edges[0])
+        for low in range(0, len(points), TILE):
+            here = slice(low, low + TILE)
+            made.append(self._tile(points, within[here], node[here], literal[here], low, reach, sums, count, nodes))
+        self.edges = tuple(np.concatenate([x.astype(old.dtype) for x in all_]) for old, all_ in zip(self.edges, zip(*made)))
+        self.first = np.concatenate([self.first, (known + np.cumsum(count)).astype(np.int32)])
+        self.place.update(zip(words, range(len(self.ends), len(self.ends) + len(words))))
+        root = nodes + start + np.arange(len(plain))
+        self.base, self.ends = (np.concatenate([old, new.astype(np.int32)]) for old, new in ((self.base, root), (self.ends, root + length)))
+        self.met = np.concatenate([self.met, np.zeros(len(plain), np.int32)])
+
+    def _tile(self, points, within, node, literal, low, reach, sums, count, nodes):
+        """The incoming edges of the nodes after the characters from `low` on; sums and count are filled for these nodes."""
+        begin = max(0, low - self.longest + 1)
+        own = points[begin : low + len(within)]
+        piece = np.full((len(within), self.longest), -1, np.int64)
         for k in reach:
             at = np.flatnonzero(within >= k - 1)
-            piece[at, k - 1] = self.table.find(_spans(points, at - k + 1, at + 1))
-        literal = np.repeat([w == _MARK for w in words], length)
+            piece[at, k - 1] = self.table.find(_spans(own, at + low - begin - k + 1, at + low - begin + 1))
         piece[literal] = -1
         spelled = piece[:, 0] < 0
         gain = np.where(piece >= 0, self.score[piece], -np.inf)
         gain[spelled, 0] = BYTES
-        sums = np.zeros(len(points) + len(plain))
         chance = np.empty(gain.shape)
         order = np.argsort(within, kind="stable")
-        cuts = np.searchsorted(within[order], np.arange(within.max() + 2))
+        cuts = np.flatnonzero(np.diff(within[order], prepend=-1, append=-1))
         for a, b in zip(cuts, cuts[1:]):
             at = order[a:b]
-            near = within[at[0]] + 1  # pieces that are longer begin before the word
+            near = min(within[at[0]] + 1, self.longest)  # pieces that are longer begin before the word
             whole = np.full((len(at), self.longest), -np.inf)
             whole[:, :near] = gain[at, :near] + sums[node[at][:, None] - reach[:near]]
             top = whole.max(1)
@@ -161,17 +186,9 @@ class Lattice:
             chance[at] = total / total[:, -1:]
             sums[node[at]] = top + np.log(total[:, -1])
         rows, k = np.nonzero(gain > -np.inf)
-        nodes, known = len(self.first) - 1, len(self.edges[0])
+        count[node] = np.bincount(rows, minlength=len(within))
         odd = spelled[rows] & (k == 0)
-        made = (chance[rows, k], nodes + node[rows] - k - 1, np.where(odd, points[rows], self.number[piece[rows, k]]), odd)
-        self.edges = tuple(np.concatenate([old, new.astype(old.dtype)]) for old, new in zip(self.edges, made))
-        count = np.zeros(len(points) + len(plain), np.int64)
-        np.add.at(count, node[rows], 1)
-        self.first = np.concatenate([self.first, (known + np.cumsum(count)).astype(np.int32)])
-        self.place.update(zip(words, range(len(self.ends), len(self.ends) + len(words))))
-        root = nodes + start + np.arange(len(plain))
-        self.base, self.ends = (np.concatenate([old, new.astype(np.int32)]) for old, new in ((self.base, root), (self.ends, root + length)))
-        self.met = np.concatenate([self.met, np.zeros(len(plain), np.int32)])
+        return chance[rows, k], nodes + node[rows] - k - 1, np.where(odd, own[low - begin + rows], self.number[piece[rows, k]]), odd
 
     def words(self, text: str) -> list[str]:
         """The parts of a text, marks in place of spaces."""
@@ -183,7 +200,7 @@ class Lattice:
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """A segmentation of each text, drawn by its key alone: neighbours and batches make no difference."""
-        if len(self.place) > CACHED:
+        if len(self.place) > CACHED or len(self.edges[0]) > CACHED_EDGES:
             self._purge()
         split = [self.words(t) for t in texts]
         new = [w for w in {w for s in split for w in s} if w not in self.place]

@@ -105,6 +105,46 @@ def test_samples_follow_the_lattice():
         assert seen[c] / n == pytest.approx(w / total, abs=0.012)
 
 
+def test_whole_lattice_is_sampled(monkeypatch):
+    tool, n = pieces.lattice(PIECES), 4_000
+    keys = pieces.row_keys(list(range(n)), 3)
+    score = {tool.pieces[i]: s for i, s in zip(tool.number.tolist(), tool.score.tolist())}
+    assert all("▁" * k in score for k in range(1, 17) if k != 15)
+    for text in ("a" + " " * 21 + "b", "=" * 45 + "-" * 30, "x" * 60 + "http://www.example.com/" * 4):
+        plain = "▁" + text.replace(" ", "▁")
+        ahead, back = np.full(len(plain) + 1, -np.inf), np.full(len(plain) + 1, -np.inf)
+        ahead[0] = back[-1] = 0
+        for j in range(len(plain)):
+            for k in range(1, 17):
+                if plain[j : j + k] in score and j + k <= len(plain):
+                    ahead[j + k] = np.logaddexp(ahead[j + k], ahead[j] + score[plain[j : j + k]])
+        for j in reversed(range(len(plain))):
+            for k in range(1, 17):
+                if plain[j : j + k] in score and j + k <= len(plain):
+                    back[j] = np.logaddexp(back[j], back[j + k] + score[plain[j : j + k]])
+        cut = np.zeros(len(plain) + 1)  # how often a piece ends at each place
+        tool.clear()
+        drawn = tool.encode([text] * n, keys)
+        for ids in drawn:
+            cut[np.cumsum([len(tool.pieces[i]) for i in ids])] += 1 / n
+        assert cut[1:] == pytest.approx(np.exp(ahead + back - ahead[-1])[1:], abs=0.045)
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "TILE", 7)
+            tool.clear()
+            assert all(a.tolist() == b.tolist() for a, b in zip(drawn, tool.encode([text] * n, keys)))
+        tool.clear()
+
+
+def test_no_piece_reaches_over_a_cut():
+    tool = pieces.lattice(PIECES)
+    usable = [tool.pieces[i] for i in tool.number.tolist()]
+    for p in usable:
+        for a in ("", "a", "é-", "1", "木"):
+            parts = tool.cut.findall(f"{a}{p}{a}")
+            ends = np.cumsum([len(x) for x in parts])
+            assert "".join(parts) == f"{a}{p}{a}" and not any(len(a) < e < len(a) + len(p) for e in ends)
+
+
 def test_pieces_over_a_table(docs, texts):
     ids = pieces.encode_sampled(docs, PIECES)
     back = {r.doc_id: r.text for r in pieces.decode_pieces(ids, PIECES).collect()}
