@@ -63,6 +63,20 @@ def test_edited_texts_and_likeness(docs, texts):
     assert np.median([r.near_edited for r in long]) > np.median([r.near_next for r in long]) + 0.1
 
 
+def test_near_copies_are_within_the_radius(spark, tmp_path):
+    rng, made = np.random.default_rng(8), []
+    for i in range(60):
+        words = [f"w{x}" + "o" * (x % 8) for x in rng.integers(0, 3_000, 300).tolist()]
+        made.append((2 * i, " ".join(words)))
+        words[int(rng.integers(0, 300))] = "changed"
+        made.append((2 * i + 1, " ".join(words)))
+    spark.createDataFrame(made, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.op6_simhash(spark, str(tmp_path)).collect()
+    every = {r.fingerprint for r in got}
+    assert all(r.n_near == sum(f != r.fingerprint and (int(f, 16) ^ int(r.fingerprint, 16)).bit_count() <= simhash.RADIUS for f in every) for r in got)
+    assert len(got) == 120 and sum(r.n_near > 0 for r in got) >= 0.9 * 120
+
+
 def test_fingerprints_vote(spark):
     docs = spark.createDataFrame([(1, "alpha")], "doc_id long, text string")
     bits = simhash.fingerprints(docs, ["doc_id"], "text").first()
