@@ -224,6 +224,12 @@ def tokens_postings(spark, d):
     return retrieval.postings(_t(spark, d, "documents").where("source = 'src1'")).select("doc_id", "term", F.col("position").cast("long").alias("position"))
 
 
+@query()
+def tokens_postings_whole(spark, d):
+    """Every source; the query above is its slice for SQL."""
+    return retrieval.postings(_t(spark, d, "documents")).select("doc_id", "term", F.col("position").cast("long").alias("position"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TERMS = f"""qt AS (SELECT item_id, list_transform(regexp_extract_all(text, '{T.QUERY_TERM}'), lambda x: lower(x)) AS f FROM benchmark),
 qu AS (SELECT item_id, CASE WHEN len(u) > 0 THEN u ELSE f END AS t FROM (SELECT item_id, f, list_filter(f, lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS u FROM qt)),
