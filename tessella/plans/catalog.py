@@ -249,6 +249,10 @@ def _asked(spark, d) -> DataFrame:
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, _SHORT), " ").alias("text"))
 
 
+def _asked_whole(spark, d) -> DataFrame:
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 _BM25 = f"""qt AS (SELECT item_id AS query_id, list_transform(regexp_extract_all(array_to_string(string_split(text, ' ')[1:{_SHORT}], ' '), '{T.QUERY_TERM}'), lambda x: lower(x)) AS f FROM benchmark),
 qu AS (SELECT query_id, CASE WHEN len(u) > 0 THEN u ELSE f END AS t FROM (SELECT query_id, f, list_filter(f, lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS u FROM qt)),
 qp AS (SELECT DISTINCT query_id, unnest(t) AS phrase FROM qu),
@@ -274,6 +278,17 @@ def bm25_source_filtered(spark, d):
     return retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d), 5, ["src0", "src3"]).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def bm25_topk_whole(spark, d):
+    """Whole passages; the query above is its slice for SQL, as are those of the same names without `_whole` below."""
+    return retrieval.bm25(_t(spark, d, "documents"), _asked_whole(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def bm25_source_filtered_whole(spark, d):
+    return retrieval.bm25(_t(spark, d, "documents"), _asked_whole(spark, d), 5, ["src0", "src3"]).withColumn("rank", F.col("rank").cast("long"))
+
+
 _COSINE = """nv AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 nn AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM nv),
 cs AS (SELECT q.vec_id AS query_id, d.vec_id, d.label, round(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) / (q.n * d.n), 6) AS score FROM nn q JOIN nn d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20)"""
@@ -302,12 +317,24 @@ fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS scor
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 10""")
 def hybrid_search_topk(spark, d):
     """Passages as queries: keywords over documents, fused with the vectors of the same numbers."""
+    return _hybrid(spark, d, _asked(spark, d), *_vectors(spark, d))
+
+
+def _hybrid(spark, d, asked, vectors, queries) -> DataFrame:
     pool = retrieval.pool(10)
-    keyword = retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d), pool)
-    vector = retrieval.cosine_top(*_vectors(spark, d), pool).withColumnRenamed("vec_id", "doc_id")
+    keyword = retrieval.bm25(_t(spark, d, "documents"), asked, pool)
+    vector = retrieval.cosine_top(vectors, queries, pool).withColumnRenamed("vec_id", "doc_id")
     return retrieval.fuse(keyword, vector, k=10).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def hybrid_search_topk_whole(spark, d):
+    """Whole passages, and the vector of every passage that has one."""
+    vectors, _ = _vectors(spark, d)
+    own = vectors.join(_asked_whole(spark, d).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi")
+    return _hybrid(spark, d, _asked_whole(spark, d), vectors, own.select(F.col("vec_id").alias("query_id"), "vector"))
+
+
 _GOLD = "gold AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS question_type, doc_id FROM benchmark b JOIN documents t ON contains(t.text, b.text))"
 
 
@@ -326,6 +353,11 @@ def recall_at_k(spark, d):
     return retrieval.recall_report(_gold(spark, d), retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d), 20), (6, 12, 20))
 
 
+@query()
+def recall_at_k_whole(spark, d):
+    return retrieval.recall_report(_gold(spark, d), retrieval.bm25(_t(spark, d, "documents"), _asked_whole(spark, d), 20), (6, 12, 20))
+
+
 @query("SELECT doc_id, trim(replace(text, chr(10), ' ')) AS snippet FROM documents WHERE length(text) <= 8000")
 def snippet_whole(spark, d):
     short = _t(spark, d, "documents").where(F.length("text") <= 8000)
@@ -350,7 +382,16 @@ def ordered_multiget(spark, d):
 b AS (SELECT query_id, doc_id, 0 AS turn, rank FROM rk UNION ALL SELECT item_id, item_id, 1, 1 FROM benchmark), o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY turn, rank) = 1)
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY turn, rank) AS rank FROM o""")
 def merged_hits(spark, d):
-    first = retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d), 4).select("query_id", "doc_id", "rank")
+    return _merged(spark, d, _asked(spark, d))
+
+
+@query()
+def merged_hits_whole(spark, d):
+    return _merged(spark, d, _asked_whole(spark, d))
+
+
+def _merged(spark, d, asked) -> DataFrame:
+    first = retrieval.bm25(_t(spark, d, "documents"), asked, 4).select("query_id", "doc_id", "rank")
     second = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("doc_id"), F.lit(1).alias("rank"))
     return agent.merge_hits(first, second).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
@@ -651,7 +692,7 @@ def question_entities(spark, d):
 def grade_and_answer(spark, d):
     """Each passage asked as a question: searched, given its facts' place empty, answered or declined."""
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    hits = retrieval.hydrate(retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d), agent.K), _t(spark, d, "documents"), 300)
+    hits = retrieval.hydrate(retrieval.bm25(_t(spark, d, "documents"), _asked_whole(spark, d), agent.K), _t(spark, d, "documents"), 300)
     listed = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"), "title", "snippet", "score"))), lambda h: F.struct(h["doc_id"].alias("doc_id"), h["title"].alias("title"), h["snippet"].alias("snippet"), h["score"].alias("score"))).alias("hits"))
     empty = F.array().cast("array<struct<doc_id:string,title:string,snippet:string,score:double>>")
     gathered = asked.join(listed, "query_id", "left").select(F.col("query_id").alias("question_id"), "question", F.coalesce("hits", empty).alias("hits"), F.array().cast("array<string>").alias("facts"))

@@ -18,3 +18,23 @@ def rows(table, columns):
 def test_postings_of_every_source(spark):
     want = [(i, w, k) for i, text in rows("documents", "doc_id, text") for k, w in enumerate(re.findall(r"[^\W_]+", text.lower()))]
     assert sorted((r.doc_id, r.term, r.position) for r in run(spark, "tokens_postings_whole")) == sorted(want)
+
+
+def small(spark, folder):
+    """A passage whose only known words come after its eighth, and the documents that have them."""
+    far = "one two three four five six seven eight zebra giraffe"
+    docs = [(1, "zebra giraffe here", "src0"), (2, "zebra alone", "src3"), (3, "giraffe elsewhere", "src5")] + [(10 + i, f"other text {i}", "src0") for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(2, far)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_whole_passages_are_asked(spark, tmp_path):
+    small(spark, tmp_path)
+    assert {r.doc_id for r in run(spark, "bm25_topk", tmp_path)} == set()
+    got = run(spark, "bm25_topk_whole", tmp_path)
+    assert {r.doc_id for r in got} == {1, 2, 3} and min(got, key=lambda r: r["rank"]).doc_id == 1
+    assert {r.doc_id for r in run(spark, "bm25_source_filtered_whole", tmp_path)} == {1, 2}
+    assert {r.doc_id for r in run(spark, "merged_hits_whole", tmp_path)} == {1, 2, 3}
+    assert "1" in run(spark, "grade_and_answer", tmp_path)[0].document_ids.split(",")
+    report = {r.k: r.recall for r in run(spark, "recall_at_k_whole") if r.question_type == "ALL"}
+    assert report[20] >= report[6] > 0.9
