@@ -64,8 +64,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, sources: list[str] | None
     return top(total, "query_id", "doc_id", k)
 
 
-def top(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    """The k highest scores of each query, ties to the smaller key."""
+def top(scored: DataFrame, query: str | list[str], key: str, k: int) -> DataFrame:
+    """The k highest scores of each query (or of each of several columns' values), ties to the smaller key."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -110,6 +110,50 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(near, "query_id", "vec_id", k)
 
 
+def cosine_top_blocked(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None, block: int = 256) -> DataFrame:
+    """cosine_top for a set of queries that grows with the table; with `by`, a column of vectors, the k best of each of its values.
+
+    Queries and vectors are dealt into blocks of about `block` rows by hash; each pair of blocks is one product of
+    matrices of which only the best of each query (and value) are kept, so that no side is broadcast or collected.
+    Vectors that are null or of another size than the query's have no score.
+    """
+    ship(vectors.sparkSession)
+    value = F.col(by).cast("string") if by else F.lit("")
+
+    def blocks(rows: DataFrame, name: str, *columns: Column) -> DataFrame:
+        # the count is of blocks, not of rows: one number
+        n = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).alias("blocks"))
+        dealt = rows.select(*columns).crossJoin(F.broadcast(n)).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return dealt.groupBy("at").agg(F.collect_list(F.struct("id", "v", "g")).alias(name)).drop("at")
+
+    v = blocks(vectors.where("vector IS NOT NULL"), "d", F.col("vec_id").alias("id"), F.col("vector").alias("v"), value.alias("g"))
+    q = blocks(queries.where("vector IS NOT NULL"), "q", F.col("query_id").alias("id"), F.col("vector").alias("v"), F.lit("").alias("g"))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d, q = ([(x["id"], x["v"], x["g"]) for x in batch.column(c)[i].as_py()] for c in (0, 1))
+                out: list[tuple] = []
+                for size in {len(x[1]) for x in q}:
+                    qs, ds = ([x for x in side if len(x[1]) == size] for side in (q, d))
+                    if not ds:
+                        continue
+                    a, b = (np.array([x[1] for x in side], float) for side in (qs, ds))
+                    ids, groups = np.array([x[0] for x in ds], np.int64), np.array([str(x[2]) for x in ds])
+                    with np.errstate(all="ignore"):
+                        scores = np.round(a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)), 6)
+                    for g in set(groups.tolist()):
+                        own = np.flatnonzero(groups == g)
+                        for j, (query, *_) in enumerate(qs):
+                            near = own[(ids[own] != query) & np.isfinite(scores[j, own])]
+                            best = near[np.lexsort((ids[near], -scores[j, near]))[:k]]
+                            out += [(query, int(ids[x]), None if ds[x][2] is None else g, float(scores[j, x])) for x in best]
+                yield pa.record_batch([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))], names=["query_id", "vec_id", "value", "score"])
+
+    near = q.crossJoin(v).select("d", "q").mapInArrow(run, "query_id long, vec_id long, value string, score double")
+    return top(near, ["query_id", "value"], "vec_id", k)
+
+
 def fuse(*ranked: DataFrame, k: int, weights: tuple[float, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, doc_id, rank)."""
     parts = [r.select("query_id", "doc_id", (F.lit(w) / (RRF_K + F.col("rank"))).alias("part")) for r, w in zip(ranked, weights or (1.0,) * len(ranked))]

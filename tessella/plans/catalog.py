@@ -310,6 +310,24 @@ def vector_topk_per_label(spark, d):
     return retrieval.cosine_top(v.where("label = 3"), q, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _vectors_whole(spark, d) -> tuple[DataFrame, DataFrame]:
+    v, _ = _vectors(spark, d)
+    return v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+
+
+@query()
+def vector_topk_cosine_whole(spark, d):
+    """Every vector whose number is divisible by 20 as a query; the query above without `_whole` is its slice for SQL."""
+    return retrieval.cosine_top_blocked(*_vectors_whole(spark, d), 10).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def vector_topk_per_label_whole(spark, d):
+    """The nearest three within each label."""
+    found = retrieval.cosine_top_blocked(*_vectors_whole(spark, d), 3, "label")
+    return found.select("query_id", F.col("value").cast("int").alias("label"), "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {_BM25}, {_COSINE},
 kw AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM al QUALIFY rank <= 30),
 ve AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs QUALIFY rank <= 30),

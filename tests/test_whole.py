@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import numpy as np
 
 import __spark_entry__ as entry
 
@@ -38,3 +39,34 @@ def test_whole_passages_are_asked(spark, tmp_path):
     assert "1" in run(spark, "grade_and_answer", tmp_path)[0].document_ids.split(",")
     report = {r.k: r.recall for r in run(spark, "recall_at_k_whole") if r.question_type == "ALL"}
     assert report[20] >= report[6] > 0.9
+
+
+def test_every_twentieth_vector_is_asked(spark):
+    every = rows("embeddings", "vec_id, embedding, label")
+    x = np.array([v for _, v, _ in every], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, labels = np.array([i for i, *_ in every]), np.array([label for *_, label in every])
+    top, each = {}, {}
+    for r in run(spark, "vector_topk_cosine_whole"):
+        top.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for r in run(spark, "vector_topk_per_label_whole"):
+        each.setdefault((r.query_id, r.label), {})[r["rank"]] = r.vec_id
+    asked = ids[ids % 20 == 0]
+    assert set(top) == set(asked) and set(each) == {(q, g) for q in asked for g in set(labels)}
+    for q in asked:
+        score = np.round(x @ x[ids == q][0], 6)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q]
+        assert [top[q][k][0] for k in range(1, 11)] == ids[order[:10]].tolist()
+        for g in set(labels):
+            assert [each[q, g][k] for k in range(1, 4)] == [ids[i] for i in order if labels[i] == g][:3]
+
+
+def test_every_passage_with_a_vector_is_fused(spark):
+    vectors = {i for (i,) in rows("embeddings", "vec_id")}
+    passages = {i for (i,) in rows("benchmark", "item_id")}
+    got = {}
+    for r in run(spark, "hybrid_search_topk_whole"):
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    top = {r.query_id: r.vec_id for r in run(spark, "vector_topk_cosine_whole") if r["rank"] == 1}
+    assert set(got) == passages and all(len(x) == 10 for q, x in got.items() if q in vectors)
+    assert 20 in passages & set(top) and top[20] in got[20]
