@@ -584,6 +584,22 @@ def neighbors(spark, d):
     return temporal.touching(temporal.current(_resolved(spark, d)), _some_nodes(spark, d)).select("node", "edge_id")
 
 
+def _all_nodes(spark, d) -> DataFrame:
+    edge = _edges(spark, d)
+    return edge.select(F.col("src").alias("node")).union(edge.select("dst")).distinct()
+
+
+@query()
+def facts_about_whole(spark, d):
+    """Every node of either side; the queries above ask a slice of the users for SQL."""
+    return temporal.facts_about(_resolved(spark, d), _all_nodes(spark, d), ["purchase", "error"], 5).select("node", "rel", "edge_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def neighbors_whole(spark, d):
+    return temporal.touching(temporal.current(_resolved(spark, d)), _all_nodes(spark, d)).select("node", "edge_id")
+
+
 @query(f"""WITH {_TEMPORAL}, cu AS (SELECT src, rel, edge_id AS current_edge, dst AS current_dst FROM bt WHERE valid_to IS NULL QUALIFY row_number() OVER (PARTITION BY src, rel ORDER BY stated_at DESC, edge_id) = 1),
 ol AS (SELECT src, rel, edge_id FROM bt WHERE valid_to IS NOT NULL QUALIFY row_number() OVER (PARTITION BY src ORDER BY stated_at DESC, edge_id) <= 4)
 SELECT src, rel, edge_id, current_edge, current_dst FROM ol LEFT JOIN cu USING (src, rel)""")
@@ -609,7 +625,16 @@ def supersession_chain(spark, d):
 
 def _places(spark, d) -> DataFrame:
     """Suppliers, customers, nations and regions as a graph."""
-    n, s, c = _t(spark, d, "nation"), _t(spark, d, "supplier"), _t(spark, d, "customer").where("c_custkey < 300")
+    return _places_of(spark, d, _t(spark, d, "customer").where("c_custkey < 300"))
+
+
+def _places_whole(spark, d) -> DataFrame:
+    """The same with all customers."""
+    return _places_of(spark, d, _t(spark, d, "customer"))
+
+
+def _places_of(spark, d, c) -> DataFrame:
+    n, s = _t(spark, d, "nation"), _t(spark, d, "supplier")
     rows = [n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.lit("PART_OF").alias("rel"), F.concat(F.lit("r"), "n_regionkey").alias("dst")), s.select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.lit("IN").alias("rel"), F.concat(F.lit("n"), "s_nationkey").alias("dst")), c.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.lit("IN").alias("rel"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("edge_id", F.concat_ws(">", "src", "dst"))
 
@@ -650,6 +675,32 @@ def subgraph(spark, d):
     return graph.subgraph(_places(spark, d), _node(spark, "n1", "n2", "r1"), ["PART_OF"]).select("src", "dst")
 
 
+def _written(found: DataFrame) -> DataFrame:
+    return found.select("start", "end", F.col("length").cast("long").alias("length"), F.array_join("nodes", "-").alias("nodes"), F.array_join("edges", ",").alias("edges"))
+
+
+@query()
+def paths_n_m_whole(spark, d):
+    """With all customers; the queries above are slices for SQL, and so on for the others."""
+    targets = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return _written(graph.paths(_places_whole(spark, d), _node(spark, "s1"), 3, targets, 10))
+
+
+@query()
+def paths_single_source_whole(spark, d):
+    return _written(graph.paths(_places_whole(spark, d), _node(spark, "s3"), 3, None, 25))
+
+
+@query()
+def reachable_1_3_whole(spark, d):
+    return graph.reachable(_places_whole(spark, d), _node(spark, "s1", "r2"), 3)
+
+
+@query()
+def subgraph_whole(spark, d):
+    return graph.subgraph(_places_whole(spark, d), _node(spark, "n1", "n2", "r1"), ["PART_OF"]).select("src", "dst")
+
+
 def _entities(spark, d) -> DataFrame:
     c = _t(spark, d, "customer")
     name = F.initcap(F.translate("c_name", "#", " "))

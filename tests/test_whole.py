@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -70,3 +71,52 @@ def test_every_passage_with_a_vector_is_fused(spark):
     top = {r.query_id: r.vec_id for r in run(spark, "vector_topk_cosine_whole") if r["rank"] == 1}
     assert set(got) == passages and all(len(x) == 10 for q, x in got.items() if q in vectors)
     assert 20 in passages & set(top) and top[20] in got[20]
+
+
+def test_every_node_has_its_facts(spark):
+    edges = run(spark, "bitemporal_edges")
+    want = {(n, e.edge_id) for e in edges if e.valid_to is None for n in (e.src, e.dst)}
+    assert {(r.node, r.edge_id) for r in run(spark, "neighbors_whole")} == want
+    counts = Counter((n, e.rel) for e in edges if e.rel in ("purchase", "error") for n in (e.src, e.dst))
+    assert Counter((r.node, r.rel) for r in run(spark, "facts_about_whole")) == {x: min(5, n) for x, n in counts.items()}
+
+
+def places(spark, folder):
+    """One nation with two regions' worth of customers, half of them numbered from 300 on."""
+    put = lambda name, made, kinds: spark.createDataFrame(made, kinds).write.parquet(f"{folder}/{name}.parquet")
+    nations = [(k, k % 2 + 1) for k in range(4)]
+    suppliers, customers = [(1, 1), (3, 2)], [(i, i % 4) for i in range(290, 310)]
+    put("nation", nations, "n_nationkey int, n_regionkey int")
+    put("supplier", suppliers, "s_suppkey long, s_nationkey int")
+    put("customer", customers, "c_custkey long, c_nationkey int")
+    return [(f"n{a}", f"r{b}") for a, b in nations] + [(f"s{a}", f"n{b}") for a, b in suppliers] + [(f"c{a}", f"n{b}") for a, b in customers]
+
+
+def walks(edges, start, most):
+    """Every simple path of up to `most` edges from a node, as its nodes and its edges."""
+    at, out = [((start,), ())], []
+    for _ in range(most):
+        at = [((*ns, b), (*es, f"{x}>{y}")) for ns, es in at for x, y in edges for a, b in ((x, y), (y, x)) if a == ns[-1] and b not in ns]
+        out += at
+    return out
+
+
+def test_graph_of_all_customers(spark, tmp_path):
+    edges = places(spark, tmp_path)
+    for name, start, k, by_end in (("paths_n_m_whole", "s1", 10, True), ("paths_single_source_whole", "s3", 25, False)):
+        groups: dict = {}
+        for ns, es in walks(edges, start, 3):
+            if not by_end or ns[-1][0] == "n":
+                groups.setdefault(ns[-1] if by_end else None, []).append((len(es), ",".join(es), "-".join(ns)))
+        want = {x for g in groups.values() for x in sorted(g)[:k]}
+        assert {(r.length, r.edges, r.nodes) for r in run(spark, name, tmp_path)} == want
+    got = {(r.start, r.node): r.hops for r in run(spark, "reachable_1_3_whole", tmp_path)}
+    hops: dict = {}
+    for start in ("s1", "r2"):
+        for ns, es in walks(edges, start, 3):
+            hops[start, ns[-1]] = min(len(es), hops.get((start, ns[-1]), 9))
+    assert got == hops and ("s1", "c309") in got
+    seeds = {"n1", "n2", "r1"}
+    on_path = {e for s in seeds for ns, es in walks(edges, s, 2) if ns[-1] in seeds for e in es}
+    want = {(a, b) for a, b in edges if (b[0] == "r" and {a, b} & seeds) or f"{a}>{b}" in on_path}
+    assert {(r.src, r.dst) for r in run(spark, "subgraph_whole", tmp_path)} == want
