@@ -46,7 +46,7 @@ def documents_with_repeats(rows: DataFrame, reps: DataFrame) -> DataFrame:
     Hashes are counted with partial aggregates; a hash that a third of all documents have is split by AQE in the join.
     """
     often = rows.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
-    return rows.select("hash", "doc_id").join(reps.select("doc_id").distinct(), "doc_id", "left_semi").join(often, "hash", "left_semi").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
+    return rows.select("hash", "doc_id").join(reps.select("doc_id").distinct(), "doc_id", "left_semi").join(often, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
 
 
 def doc_slices(offsets: np.ndarray, data: np.ndarray):

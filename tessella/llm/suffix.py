@@ -250,20 +250,23 @@ def repeated_bytes(docs: DataFrame, width: int = 200, with_text: bool = False) -
     anything is sorted. An anchor with over 512 different fragments has its windows counted by 128-bit hashes
     instead, over all executors, so that no task holds a crowded anchor.
 
-    Null or empty text: no bytes. Null doc_id: it counts as a place where a string starts only if its whole text
-    repeats, and is kept unless it does. Rows that repeat a doc_id count as different places. Empty table: no rows.
+    Null or empty text: no bytes. Rows count as different places whatever their doc_id, repeated and null ones too: what
+    is sorted is keyed by 64 bits of the text's sha256. Empty table: no rows.
     """
     docs = texts(docs)
     raw = docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    key = F.conv(F.substring("sha", 2, 15), 16, 10).cast("long")
     scan = materialize(raw.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha"), "scan")
     copies = scan.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    reps = scan.where(f"n_bytes >= {width} AND doc_id IS NOT NULL").join(copies, "sha").where("doc_id = first").select("doc_id", "sha", F.least(F.lit(2), "copies").cast("int").alias("weight")).distinct()
+    reps = scan.where(f"n_bytes >= {width}").join(copies, "sha").where("doc_id <=> first").select(key.alias("doc_id"), "first", "sha", F.least(F.lit(2), "copies").cast("int").alias("weight")).distinct()
 
     def anchors(data, offsets):
         return _fragments(data, offsets, width)[:2]
 
-    again = materialize(documents_with_repeats(anchor_rows(docs.where("doc_id IS NOT NULL"), anchors), reps).join(reps, "doc_id"), "anchored")
-    zone = materialize(raw.join(again, ["doc_id", "sha"]).dropDuplicates(["doc_id", "sha"]), "zone")
+    again = materialize(documents_with_repeats(anchor_rows(raw.select(key.alias("doc_id"), "text"), anchors), reps).join(reps, "doc_id"), "anchored")
+    own = raw.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "text")
+    zone = own.join(again, (F.col("_sha") == F.col("sha")) & F.col("_id").eqNullSafe(F.col("first"))).drop("_id", "_sha", "first")
+    zone = materialize(zone.dropDuplicates(["doc_id", "sha"]), "zone")
     run, schema = _meta(width)
     meta = materialize(zone.mapInArrow(run, schema), "fragments")
     alike = materialize(meta.groupBy("hash", "f1", "f2").agg(F.least(F.lit(2), F.sum("weight")).cast("int").alias("n"), F.min(F.struct("doc_id", "start", "windows", "anchor")).alias("at")), "alike")
@@ -284,7 +287,7 @@ def repeated_bytes(docs: DataFrame, width: int = 200, with_text: bool = False) -
     cut = zone.where("weight = 1").select("doc_id", "sha", "text").join(found, "doc_id").mapInArrow(run, schema)
     if not with_text:
         cut = cut.drop("kept")
-    out = scan.join(copies, "sha").join(cut, ["doc_id", "sha"], "left")
+    out = scan.join(copies, "sha").join(cut.drop("doc_id"), "sha", "left")
     copy = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     columns = [
         "doc_id",
@@ -302,7 +305,7 @@ def without_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     Rows and other columns stay; a null text stays null. Everything else is as in repeated_bytes.
     """
     found = repeated_bytes(docs, width, with_text=True).where("cut IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("cut").alias("_cut")).dropDuplicates(["_id", "_sha"])
-    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha")), "left")
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha")), "left")
     text = F.coalesce("_cut", "text")
     changed = {"text": text} | ({"n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_cut").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))

@@ -131,6 +131,14 @@ def test_odd_rows(odd):
     assert sorted(r.doc_id or 0 for r in d) == [0, 0, 1, 2, 3, 4]
 
 
+def test_long_texts_under_one_or_no_doc_id(spark):
+    shared, other = ("".join(chr(97 + (i * i * k + i) % 26 ^ i % 7) for i in range(300)) for k in (3, 5))
+    lone = lambda c, n: c + "".join(f"{c}{i:05d}" for i in range(n)) + c
+    made = [(1, lone("p", 40)), (1, lone("q", 500) + shared), (2, lone("r", 50) + shared), (None, lone("s", 60) + other), (3, other + lone("t", 70))]
+    got = suffix.repeated_bytes(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == sorted((len(t), len(t) - len(t.replace(shared, "").replace(other, ""))) for _, t in made)
+
+
 def test_very_long_text(spark):
     long = "".join(chr(97 + i * i % 23) for i in range(50_000)) * 60
     rows = spark.createDataFrame([(1, long), (2, "short " + long[100:700])], "doc_id long, text string")
