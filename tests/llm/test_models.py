@@ -1,9 +1,11 @@
 import hashlib
 import html as H
 import re
+import struct
 
 import duckdb
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import html, language, neighbours, simhash
@@ -44,6 +46,35 @@ def test_short_texts_make_dictionaries(spark):
     assert language.with_known_language(docs).count() == 45
 
 
+def hashed(term, seed=42):
+    """Spark's xxhash64 of a string, from another hash or the seed."""
+    return xxhash.xxh64_intdigest(term.encode(), seed)
+
+
+def voted(text):
+    """The 128 bits of a text, counted one by one."""
+    words = re.split(r"[ \t\n\x0b\f\r]+", text.lower())
+    while len(words) > 1 and not words[-1] and text == "":
+        words.pop()
+    votes, total = [0] * 128, 0
+    for a, b in zip(words, [*words[1:], None]):
+        x = hashed(a) if b is None else hashed(b, hashed(a))
+        y = xxhash.xxh64_intdigest(struct.pack("<i", 1), xxhash.xxh64_intdigest(struct.pack("<Q", x), 42))
+        weight = 1 + min(len(a), 24) // 4
+        total += weight
+        for k in range(128):
+            votes[k] += weight * (((x << 64 | y) >> k) & 1)
+    return f"{sum(1 << k for k in range(128) if 2 * votes[k] > total):032x}"
+
+
+def test_votes_are_counted_one_by_one(docs, texts, spark):
+    long = " ".join(f"word{i % 977}{'o' * (i % 40)}" for i in range(20_000))
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, long)], "doc_id long, text string"))
+    got = {r.doc_id: r.fingerprint for r in simhash.fingerprints(frame, ["doc_id"], "text").collect()}
+    for i, t, *_ in [*texts, (-1, long)]:
+        assert got[i] == voted(t or "")
+
+
 def test_edited_texts_and_likeness(docs, texts):
     order = sorted(texts, reverse=True, key=lambda r: r[0])
     got = {r.doc_id: r for r in simhash.fingerprint_edits(docs).collect()}
@@ -54,6 +85,7 @@ def test_edited_texts_and_likeness(docs, texts):
         edited = t[: len(t) - cut] + u[:cut]
         a, b, c = (int(x, 16) for x in (got[i].fingerprint, got[i].edited_fingerprint, got[j].fingerprint))
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].fingerprint == voted(t) and got[i].edited_fingerprint == voted(edited)
         assert abs(got[i].near_edited - (1 - (a ^ b).bit_count() / 128)) < 1e-12 and abs(got[i].near_next - (1 - (a ^ c).bit_count() / 128)) < 1e-12
         assert prints.setdefault(t, a) == a
     every = {r.fingerprint for r in got.values()}
@@ -63,6 +95,17 @@ def test_edited_texts_and_likeness(docs, texts):
     assert np.median([r.near_edited for r in long]) > np.median([r.near_next for r in long]) + 0.1
 
 
+def test_next_text_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(3)
+    made = [(int(i), f"t{k}") for k, i in enumerate(rng.integers(-10**15, 10**15, 150))]
+    made += [(7, f"same {k % 40}") for k in range(120)] + [(None, f"none {k}") for k in range(60)] + [(2**63 - 1, "top"), (-(2**63), "bottom")]
+    frame = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    order = sorted(made, key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1]) >> 1))
+    want = [(i, t, u) for (i, t), (_, u) in zip(order, order[1:] + order[:1])]
+    got = [(r.doc_id, r.text, r.next_text) for r in simhash.with_next(frame).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_near_copies_are_within_the_radius(spark, tmp_path):
     rng, made = np.random.default_rng(8), []
     for i in range(60):
@@ -90,11 +133,13 @@ def test_all_fingerprints_within_the_radius(spark):
     for b in base[:20]:
         for k in range(5):
             base.append(b ^ sum(1 << int(x) for x in rng.choice(128, k + 1, replace=False)))
-    made = [f"{x:032x}" for x in base]
-    frame = spark.createDataFrame([(x,) for x in [*made, made[0], None]], "fingerprint string")
-    for radius in (2, 3):
-        want = {(a, b) for a in set(made) for b in set(made) if a < b and (int(a, 16) ^ int(b, 16)).bit_count() <= radius}
-        assert {(r.a, r.b) for r in simhash.near_fingerprints(frame, radius).collect()} == want
+    halves = [tuple(struct.unpack(">qq", x.to_bytes(16, "big"))) for x in base]
+    frame = spark.createDataFrame([*halves, halves[0], (None, None), (1, None)], "x long, y long")
+    whole = dict(zip(halves, base))
+    for radius in (1, 2, 3, 8):
+        want = {(a, b, (whole[a] ^ whole[b]).bit_count()) for a in whole for b in whole if a < b and (whole[a] ^ whole[b]).bit_count() <= radius}
+        got = [((r.ax, r.ay), (r.bx, r.by), r.distance) for r in simhash.near_fingerprints(frame, radius).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_simhash_edges(empty, odd):
