@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tessella.llm import minhash, substring, suffix
 from tessella.llm.graph import components
@@ -64,6 +65,33 @@ def test_repeated_windows_against_brute_force(docs, texts):
     assert sum(r.n_removed > 0 for r in got.values()) >= 10
 
 
+def test_segments_of_a_long_text_give_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    raw = b" ".join(b"w%d" % x for x in rng.integers(0, 90_000, 9_000)) + b" " + b"x" * 40_000 + b" " + b"\n ".join(b"v%d" % x for x in range(300))
+    data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    starts, ends, of = substring.word_spans(data, offsets)
+    want = substring._anchors(of, substring.word_hashes(data, starts, ends), 50)
+    columns = [pa.array([raw.decode()]), pa.array([7]), pa.array([1], pa.int32()), pa.array([substring.signed(want[0])[::2].tolist()], pa.list_(pa.int64()))]
+    batch = pa.record_batch(columns, names=["text", "doc_id", "twin", "hashes"])
+    windows = lambda: pa.Table.from_batches(list(substring._windows(50)[0](iter([batch]))))
+    whole, joined = windows(), substring._joined(substring._pieces(raw))
+    assert joined == (len(raw.split()), sha(b" ".join(raw.split()))) and len(whole) > 5_000
+    monkeypatch.setattr(substring, "SEGMENT", 3_000)
+    assert windows().equals(whole) and substring._joined(substring._pieces(raw)) == joined
+    parts = list(substring._segments(data, offsets, 50))
+    assert sum(own for *_, own in parts) == len(starts) and len(parts) > 10
+
+
+def test_long_texts_and_repeated_ids_lose_their_passages(spark):
+    lone = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    one, two = lone("p", 60), lone("q", 70)
+    made = [(5, lone("a", 400_000) + " " + one), (6, lone("b", 10) + " " + one), (6, two + " " + lone("c", 90)), (7, lone("d", 350_000) + "\n" + two + " tail"), (None, one)]
+    assert len(made[0][1]) > substring.SEGMENT
+    got = substring.drop_repeated_windows(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    kept = {5: [made[0][1].split()], 6: [made[1][1].split()[:10], made[2][1].split()], 7: [[w for w in made[3][1].split() if w[0] != "q"]], None: [one.split()]}
+    assert sorted((r.doc_id or 0, r.kept_sha256) for r in got) == sorted((i or 0, sha(" ".join(w).encode())) for i, ws in kept.items() for w in ws)
+
+
 def test_cover_meets_every_shift():
     assert {(a - b) % substring.PERIOD for a in substring.COVER for b in substring.COVER} == set(range(substring.PERIOD))
 
