@@ -13,11 +13,14 @@ from .common import materialize, ship, table
 SAMPLE = 16_384
 #: Sub-vectors, and codewords of each.
 PARTS, WORDS = 16, 256
-#: Lists that a query looks into, as a share of all and at least. Vectors without clusters need as many as this for a recall of 0.96.
-PROBE, PROBE_LEAST = 0.6, 16
+#: A query looks into so many lists that they hold this share of the nearest neighbours within the sample, and into so
+#: many at least. Vectors in clusters need few; vectors without clusters need more than half of all.
+FOUND, PROBE_LEAST = 0.975, 16
+#: Vectors of the sample that this is measured with.
+MEASURED = 256
 #: Candidates by table distance that are measured exactly, for each neighbour wanted.
 RERANK = 40
-#: Index entries in one task; entries are dealt by a hash, so each block has its share of every list.
+#: Index entries in one task, about: a block is some lists that lie near each other, or a part of a large one.
 BLOCK = 16_384
 
 
@@ -44,7 +47,7 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Index:
     """Coarse centroids and codebooks of residuals; small, whatever the number of vectors."""
 
-    def __init__(self, sample: np.ndarray, count: int):
+    def __init__(self, sample: np.ndarray, count: int, k: int = 10):
         rng = np.random.default_rng(7)
         lists = int(min(4096, max(1, round(count**0.5)), max(1, len(sample) // 8)))
         self.coarse = _lloyd(sample, lists, 8, rng)
@@ -52,7 +55,35 @@ class Index:
         cuts = np.linspace(0, sample.shape[1], min(PARTS, sample.shape[1]) + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
         self.books = [_lloyd(residual[:, p], WORDS, 8, rng) for p in self.parts]
-        self.probes = min(lists, max(PROBE_LEAST, int(np.ceil(PROBE * lists))))
+        self.probes = min(lists, max(PROBE_LEAST, self._needed(sample, k)))
+
+    def _needed(self, sample: np.ndarray, k: int) -> int:
+        """How many lists, nearest first, hold FOUND of the k nearest of some of the sample's vectors."""
+        own, ranks = _nearest(sample, self.coarse), []
+        for q in sample[:MEASURED]:
+            away = ((sample - q) ** 2).sum(1)
+            near = np.argsort(away, kind="stable")[1 : k + 1]
+            rank = np.empty(len(self.coarse), np.int64)
+            rank[np.argsort(((self.coarse - q) ** 2).sum(1), kind="stable")] = np.arange(len(self.coarse))
+            ranks.append(rank[own[near]])
+        ranks = np.sort(np.concatenate(ranks))
+        return int(ranks[min(len(ranks) - 1, int(FOUND * len(ranks)))]) + 1 if len(ranks) else 1
+
+    def deal(self, sizes: np.ndarray) -> None:
+        """Blocks of lists: `first` and `parts` say which blocks hold a list of the given size."""
+        groups = _nearest(self.coarse, _lloyd(self.coarse, max(1, len(self.coarse) // 16), 4, np.random.default_rng(7)))
+        self.first, self.parts_of = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        block = held = 0
+        for at in np.argsort(groups, kind="stable"):
+            if held and held + sizes[at] > BLOCK:
+                block, held = block + 1, 0
+            self.first[at], self.parts_of[at] = block, max(1, -(-int(sizes[at]) // BLOCK))
+            block, held = (block + self.parts_of[at], 0) if self.parts_of[at] > 1 else (block, held + sizes[at])
+
+    def blocks_of(self, q: np.ndarray) -> np.ndarray:
+        """The blocks of the lists that a query looks into."""
+        at = np.flatnonzero(np.isfinite(self.tables(q)[0]))
+        return np.unique(np.concatenate([np.arange(f, f + n) for f, n in zip(self.first[at], self.parts_of[at])]))
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list of each vector, and its residual's codewords."""
@@ -101,8 +132,21 @@ def _coded(index: Index):
     return run, "list int, class_id long, code binary, bias double"
 
 
-def _scanned(index: Index, most: int):
-    """The best `most` codes of one block for each query, by its distance tables."""
+def _asked(index: Index):
+    """A query for each block that holds lists that it looks into, and how many those are."""
+    schema = pa.schema([("query_id", pa.int64()), ("vector", pa.list_(pa.float64())), ("block", pa.int64()), ("blocks", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i, vector in enumerate(_matrix(batch.column(1)) if batch.num_rows else ()):
+                to = index.blocks_of(vector)
+                yield pa.record_batch([pa.array(np.full(len(to), batch.column(0)[i].as_py())), pa.array([vector] * len(to), pa.list_(pa.float64())), pa.array(to), pa.array(np.full(len(to), len(to)))], schema=schema)
+
+    return run, "query_id long, vector array<double>, block long, blocks long"
+
+
+def _scanned(index: Index, wanted: int, least: int):
+    """A query's best codes of one block by its distance tables: `least`, and its share of `wanted`."""
     schema = pa.schema([("query_id", pa.int64()), ("class_id", pa.int64()), ("near", pa.float64())])
 
     def run(queries: pa.Table, codes: pa.Table) -> pa.Table:
@@ -111,8 +155,9 @@ def _scanned(index: Index, most: int):
             code = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(codes.num_rows, -1)
             lists, ids, bias = (codes.column(c).to_numpy() for c in ("list", "class_id", "bias"))
             part = np.arange(code.shape[1])
-            for q, vector in zip(queries.column("query_id").to_numpy(), _matrix(queries.column("vector").combine_chunks())):
+            for q, vector, blocks in zip(queries.column("query_id").to_numpy(), _matrix(queries.column("vector").combine_chunks()), queries.column("blocks").to_pylist()):
                 away, products = index.tables(vector)
+                most = wanted // blocks + least
                 at = np.flatnonzero(np.isfinite(away[lists]))
                 near = away[lists[at]] + bias[at] - 2 * products[part, code[at]].sum(1)
                 best = np.argpartition(near, most - 1)[:most] if len(near) > most else np.arange(len(near))
@@ -133,9 +178,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
 
     Equal vectors are one entry of the index, which keeps the k + 1 smallest vec_ids of each, as no query can use more;
     so a vector that a third of all rows have is one entry too. Every entry is in the index; centroids and codebooks
-    are fitted on SAMPLE entries with the smallest hashes. Table distances choose RERANK * k entries of the PROBE
-    nearest lists, which are then measured exactly; a block gives twice its share of them. With few vectors every
-    list is looked into.
+    are fitted on SAMPLE entries with the smallest hashes, and so is the number of nearest lists that a query looks
+    into. Queries go only to blocks that hold such a list. Table distances choose RERANK * k entries, which are then
+    measured exactly; a block gives twice its share of them. With few vectors every list is looked into.
 
     Vectors that are null, zero, or hold nulls, NaN or infinities, and rows without vec_id take no part; nor do vectors
     whose length isn't the most common (of equals, the longest). A repeated vec_id is one vector: the smallest. Empty table or no query: no rows.
@@ -156,13 +201,19 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     classes = materialize(few.groupBy("vector").agg(F.min("vec_id").alias("class_id"), F.array_sort(F.collect_list("vec_id")).alias("members")).select("class_id", "vector", "members"), "classes")
     count = classes.count()
     sample = np.array([r["vector"] for r in classes.orderBy(F.xxhash64("class_id", F.lit(7)), "class_id").select("vector").limit(SAMPLE).collect()])
-    index = Index(sample, count)
-    blocks = -(-count // BLOCK)
+    index = Index(sample, count, k)
     run, schema = _coded(index)
-    codes = classes.select("class_id", "vector").mapInArrow(run, schema).withColumn("block", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int"))
+    codes = materialize(classes.select("class_id", "vector").mapInArrow(run, schema), "codes")
+    sizes = np.zeros(len(index.coarse), np.int64)
+    for r in codes.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    index.deal(sizes)
+    places = spark.createDataFrame(list(zip(range(len(sizes)), index.first.tolist(), index.parts_of.tolist())), "list int, first long, parts long")
+    codes = codes.join(F.broadcast(places), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("class_id"), F.col("parts"))).drop("first", "parts")
     mine = rows.where("asked").select(F.col("vec_id").alias("query_id"), "vector")
-    asking = mine.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    run, schema = _scanned(index, 2 * RERANK * k // blocks + k)
+    run, schema = _asked(index)
+    asking = mine.mapInArrow(run, schema)
+    run, schema = _scanned(index, 2 * RERANK * k, k)
     found = asking.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(run, schema)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "class_id"))).where(f"n <= {RERANK * k}").select("query_id", "class_id")
     best = materialize(best, "candidates")
