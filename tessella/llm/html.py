@@ -26,8 +26,12 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _WORD = re.compile(r"[a-z]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_RAW = frozenset("script style noscript template textarea select svg math iframe object canvas audio video title head".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr"
+    " math semantics mrow mi mn mo mtext ms mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mtable mtr mtd menclose mpadded mphantom".split()
+)
+#: What a reader doesn't see: code, styles, form fields, what stands for a page without scripts or within a frame, titles.
+_RAW = frozenset("script style noscript template textarea select iframe title head".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = frozenset("ul ol dl table div section article main aside nav header footer form body td".split())
