@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table, texts
+from .common import ship, spare, table, texts
 
 #: The bound of the sample that dictionaries are made of: documents of each language, and bytes of each document and dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 4_096, 65_536
@@ -18,8 +18,8 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 4_096, 65_536
 SHORT = 200
 #: Bytes compressed at a time, so that the dictionary rather than the text before decides.
 BLOCK = 4_096
-#: A winner that is smaller by less than this share of its size is rejected, if the text has this many bytes of letters.
-MARGIN, MARGIN_FROM = 0.005, 256
+#: The runner-up must be larger by more than this share of the winner's size, less one byte, as sizes are whole bytes.
+MARGIN = 0.005
 
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
@@ -53,20 +53,21 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     return {lang: b" ".join(found[lang])[-DICTIONARY_BYTES:] for lang in sorted(found, key=lambda x: (-counts[x], x))}
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """docs with lang_pred, score and rejected for every row (text is needed; clashing columns are replaced).
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with lang_pred, score and rejected, or as `names` says, for every row (text is needed; columns of these names are replaced).
 
     Every whole text's words are compressed in blocks with each language's dictionary; the smallest total wins, ties
     go to the more common language. score is the share of the winner in the likelihoods that the sizes stand for.
-    rejected: no language, or the runner-up is larger by no more than `margin` of the winner's size. Texts under
-    MARGIN_FROM bytes are too short for a margin to say anything and are not rejected for it.
+    rejected: no language, or the runner-up is larger by no more than `margin` of the winner's size less a byte; so the
+    margin grows with the text, and a size under 200 bytes is never too close.
 
     Null text, or text without letters: `und`, score 0, rejected. So is everything if no language was learned.
     """
     ship(docs.sparkSession)
     langs = list(dictionaries)
-    extra = [("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]
+    extra = list(zip(names, (pa.string(), pa.float64(), pa.bool_())))
     kept = [c for c in docs.columns if c not in {n for n, _ in extra}]
+    (mark,) = spare(docs, "_lettered")
     lettered = F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False))
 
     def run(batches):
@@ -76,7 +77,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
         tools = [zstandard.ZstdCompressor(dict_data=d, compression_params=_parameters()) for d in made]
         for batch in batches:
             preds, scores, rejected = [], [], []
-            texts_, letters = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("_lettered"))
+            texts_, letters = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index(mark))
             for i in range(batch.num_rows):
                 if not langs or not letters[i].as_py():
                     preds.append("und"), scores.append(0.0), rejected.append(True)
@@ -87,20 +88,23 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 best = sizes[order[0]]
                 preds.append(langs[order[0]])
                 scores.append(float(1 / np.exp2(-8 * np.minimum(sizes - best, 100)).sum()))
-                rejected.append(len(order) > 1 and len(raw) >= MARGIN_FROM and sizes[order[1]] - best <= margin * best)
-            names = [n for n in batch.schema.names if n != "_lettered"]
-            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, *(n for n, _ in extra)])
+                rejected.append(len(order) > 1 and sizes[order[1]] - best + 1 <= margin * best)
+            own = [n for n in batch.schema.names if n != mark]
+            yield pa.record_batch([*(batch.column(batch.schema.get_field_index(n)) for n in own), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*own, *(n for n, _ in extra)])
 
-    frame = docs.select(*kept, lettered.alias("_lettered"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return frame.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean")
+    frame = docs.select(*(F.col(f"`{c}`") for c in kept), lettered.alias(mark))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in kept)).schema)
+    return frame.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The docs that are not rejected, all columns as they are, a null lang as predicted; learned from their own lang."""
-    found = classify(docs, fit(docs)).where("NOT rejected")
-    lang = F.coalesce("lang", "lang_pred").alias("lang")
-    return found.select(*(lang if c == "lang" else c for c in docs.columns))
+    """The docs that are not rejected, all columns as they are whatever their names, a null lang as predicted; learned
+    from their own lang. Rows with null texts or texts without letters go; repeated rows and null doc_ids are rows like
+    others. No row with lang: nothing can be learned and every row goes. Empty table: no rows."""
+    names = spare(docs, "lang_pred", "score", "rejected")
+    found = classify(docs, fit(docs), names=tuple(names)).where(~F.col(f"`{names[2]}`"))
+    lang = F.coalesce(F.col("lang"), F.col(names[0])).alias("lang")
+    return found.select(*(lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def fold() -> F.Column:
