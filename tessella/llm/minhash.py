@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialize, mix64, signed, table, text_chunks, texts, word_hashes, word_spans
+from .common import Rolling, materialize, mix64, signed, spare, table, text_chunks, texts, word_hashes, word_spans
 from .graph import components
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 #: Two-bit coordinates that may differ before a pair is set aside: at similarity 0.8 the mean is 19.2, this is 6.4 standard deviations more.
 MAX_DIFFER = 45
-#: One-bit coordinates of the second sketch, and how many may differ: at similarity 0.8 the mean is 102.4, this is 4.5 standard deviations more.
-SKETCH, SKETCH_DIFFER = 1024, 146
+#: One-bit coordinates of the second sketch, and how many may differ: at similarity 0.8 the mean is 102.4, this is 6.4 standard deviations more.
+SKETCH, SKETCH_DIFFER = 1024, 164
 
 _U = np.uint64
 _STEP = Rolling(0x9E3779B97F4A7C15 | 1)
@@ -125,15 +125,18 @@ def _linked(percent: int):
     return run, "a long, b long"
 
 
-def _close(x: str, y: str, percent: int) -> F.Column:
-    """Sizes allow the similarity, and so do the two-bit signatures."""
+def _close(x: str, y: str, percent: int, most: int | None) -> F.Column:
+    """Sizes allow the similarity, and at most so many of the two-bit coordinates differ, if a number is given."""
+    least, greatest = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
+    sizes = 100 * least >= percent * greatest
+    if most is None:
+        return sizes
     differ = None
     for j in range(4):
         bits = F.col(f"{x}.w{j}").bitwiseXOR(F.col(f"{y}.w{j}"))
         count = F.bit_count((bits.bitwiseOR(F.shiftrightunsigned(bits, 1))).bitwiseAND(F.lit(0x5555555555555555)))
         differ = count if differ is None else differ + count
-    least, most = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
-    return (100 * least >= percent * most) & (differ <= MAX_DIFFER)
+    return sizes & (differ <= most)
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -182,7 +185,7 @@ def _sketched(batches):
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH // 64))], names=["class_id", *(f"z{j}" for j in range(SKETCH // 64))])
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most_differ: int | None = MAX_DIFFER, sketch_differ: int | None = SKETCH_DIFFER) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; other columns are ignored).
 
     Words are lower-cased (A-Z) and split at ASCII white space; a document is its set of distinct `width`-word
@@ -193,7 +196,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     left out only where sizes, signatures, or shingles that no other class has rule the similarity out, and is looked
     at in one of its buckets. So a group of
     copies costs rows in proportion to its size, and yet no link between two components goes unchecked. A link of
-    exactly similarity 0.8 fails to share any of 32 bands of 4 with probability 5e-8.
+    exactly similarity 0.8 fails to share any of 32 bands of 4 with probability 5e-8. The signatures' cut-offs lose such
+    a pair with probability 1e-10 each; with most_differ and sketch_differ None, only what cannot be similar by its
+    sizes and shared shingles is left out.
 
     Null or wordless texts: n_shingles 0, linked with nothing, kept. Null doc_id: linked with nothing, component_id
     null, kept. Rows that repeat a doc_id share its component. Empty table: no rows.
@@ -214,7 +219,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     buckets = buckets.join(_own_shingles(sets), "class_id", "left").withColumn("common", common).drop("own")
     buckets = materialize(buckets.where(100 * F.col("common") >= percent * F.col("n_shingles")), "buckets")
     same = F.least("m.common", "c.common")
-    able = (100 * same >= percent * (F.col("m.n_shingles") + F.col("c.n_shingles") - same)) & _close("m", "c", percent)
+    able = (100 * same >= percent * (F.col("m.n_shingles") + F.col("c.n_shingles") - same)) & _close("m", "c", percent, most_differ)
     centers = buckets.groupBy("key").agg(F.max_by(F.struct(*buckets.columns), F.struct(F.col("common") / F.col("n_shingles"), F.col("class_id"))).alias("at")).select("at.*")
     star = buckets.alias("m").join(centers.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.class_id") != F.col("c.class_id")) & able)
     star = materialize(star.select(F.col("c.class_id").alias("a"), F.col("m.class_id").alias("b")).distinct(), "pairs")
@@ -224,12 +229,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     counts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = materialize(named.join(main, "key"), "mixed")
-    left = mixed.select("class_id").distinct()
-    sketches = sets.join(left, "class_id").select("class_id", "shingles").mapInArrow(_sketched, "class_id long, " + ", ".join(f"z{j} long" for j in range(SKETCH // 64)))
-    mixed = materialize(mixed.join(sketches, "class_id").join(classes.select("class_id", "keys"), "class_id"), "mixed")
-    differ = sum((F.bit_count(F.col(f"m.z{j}").bitwiseXOR(F.col(f"c.z{j}"))) for j in range(SKETCH // 64)), F.lit(0))
+    if sketch_differ is not None:
+        left = mixed.select("class_id").distinct()
+        sketches = sets.join(left, "class_id").select("class_id", "shingles").mapInArrow(_sketched, "class_id long, " + ", ".join(f"z{j} long" for j in range(SKETCH // 64)))
+        mixed = mixed.join(sketches, "class_id")
+        differ = sum((F.bit_count(F.col(f"m.z{j}").bitwiseXOR(F.col(f"c.z{j}"))) for j in range(SKETCH // 64)), F.lit(0))
+        able = able & (differ <= sketch_differ)
+    mixed = materialize(mixed.join(classes.select("class_id", "keys"), "class_id"), "mixed")
     once = F.array_min(F.array_intersect("m.keys", "c.keys")) == F.col("m.key")
-    cross = mixed.where("component != main").alias("m").join(mixed.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.component") != F.col("c.component")) & able & (differ <= SKETCH_DIFFER) & once)
+    cross = mixed.where("component != main").alias("m").join(mixed.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("m.component") != F.col("c.component")) & able & once)
     cross = cross.select(F.least("m.class_id", "c.class_id").alias("a"), F.greatest("m.class_id", "c.class_id").alias("b")).distinct()
     more = _verified(materialize(cross, "pairs"), sets, percent)
     label = components(links.unionByName(more)).withColumnRenamed("node", "class_id")
@@ -240,14 +248,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, the smallest doc_id; all columns stay.
+    """docs with one document of each group of near duplicates, the smallest doc_id; all columns stay, whatever their names.
 
-    Rows that repeat a doc_id are one document: the first by text stays. Rows without doc_id all stay.
+    Rows that repeat a doc_id are one document: the first by text stays. Rows without doc_id all stay, and so do
+    documents without words, each by itself. Empty table: no rows.
     """
-    kept = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"))
-    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("text"))).where("_n = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    id_, n = spare(docs, "_id", "_n")
+    kept = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(id_)).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col(id_))
+    first = named.withColumn(n, F.row_number().over(Window.partitionBy(id_).orderBy("text"))).where(F.col(n) == 1)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return first.select(*own).unionByName(docs.where("doc_id IS NULL").select(*own))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

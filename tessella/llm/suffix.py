@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import EMPTY_SHA, anchor_rows, doc_slices, documents_with_repeats
-from .common import _BYTES, Rolling, materialize, mix64, signed, table, text_chunks, texts
+from .common import _BYTES, Rolling, materialize, mix64, signed, spare, table, text_chunks, texts
 
 #: Fragments sorted together, at least; a collection ends with its last anchor.
 COLLECTION = 16_384
@@ -302,13 +302,14 @@ def repeated_bytes(docs: DataFrame, width: int = 200, with_text: bool = False) -
 def without_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     """docs with the repeated strings gone from text, and n_chars anew where there is such a column.
 
-    Rows and other columns stay; a null text stays null. Everything else is as in repeated_bytes.
+    Rows and other columns stay, whatever their names; a null text stays null. Everything else is as in repeated_bytes.
     """
-    found = repeated_bytes(docs, width, with_text=True).where("cut IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("cut").alias("_cut")).dropDuplicates(["_id", "_sha"])
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha")), "left")
-    text = F.coalesce("_cut", "text")
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_cut").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
-    return joined.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    id_, sha, cut = spare(docs, "_id", "_sha", "_cut")
+    found = repeated_bytes(docs, width, with_text=True).where("cut IS NOT NULL").select(F.col("doc_id").alias(id_), F.col("sha").alias(sha), F.col("cut").alias(cut)).dropDuplicates([id_, sha])
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.sha2(F.col("text").cast("binary"), 256) == F.col(sha)), "left")
+    text = F.coalesce(cut, "text")
+    changed = {"text": text} | ({"n_chars": F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return joined.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

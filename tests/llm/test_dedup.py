@@ -118,8 +118,8 @@ def near_by_brute_force(texts, width):
 
 
 def test_near_duplicates_against_brute_force(docs, texts):
-    for width in (4, 5):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, width).collect()}
+    for width, cuts in ((4, {}), (5, {}), (4, {"most_differ": None, "sketch_differ": None})):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, width, **cuts).collect()}
         assert got == near_by_brute_force(texts, width)
 
 

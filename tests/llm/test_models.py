@@ -6,6 +6,7 @@ import struct
 import duckdb
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tessella.llm import html, language, neighbours, simhash
@@ -75,6 +76,23 @@ def test_votes_are_counted_one_by_one(docs, texts, spark):
         assert got[i] == voted(t or "")
 
 
+def test_sizes_are_recounted_and_decide(docs, texts):
+    made = {"aa": b"the of and to in is that it was for on are with as his they be at " * 40, "bb": b"der die und in den von zu das mit sich des auf ist im dem nicht ein " * 40, "cc": b"der die und in den von zu das mit sich des auf ist im dem nicht eine " * 40}
+    got = {r.doc_id: r for r in language.classify(docs.select("doc_id", "text"), made).collect()}
+    for i, t, *_ in texts:
+        letters = re.sub(r"[\W\d_]+", " ", (t or "").lower()).encode()
+        if not re.search(r"[^\W\d_]", t or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        sizes = []
+        for d in made.values():
+            tool = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=language._parameters())
+            sizes.append(sum(len(tool.compress(letters[k : k + 4096])) for k in range(0, len(letters), 4096)))
+        low, second = sorted(sizes)[:2]
+        assert got[i].lang_pred == list(made)[sizes.index(low)] and got[i].rejected == (second - low + 1 <= 0.005 * low)
+        assert abs(got[i].score - 1 / sum(2.0 ** (-8 * min(x - low, 100)) for x in sizes)) < 1e-12
+
+
 def test_edited_texts_and_likeness(docs, texts):
     order = sorted(texts, reverse=True, key=lambda r: r[0])
     got = {r.doc_id: r for r in simhash.fingerprint_edits(docs).collect()}
@@ -165,6 +183,22 @@ def test_neighbours_recall(spark):
     assert hit >= 0.9 * 10 * len(got)
 
 
+def test_clustered_vectors_need_few_lists_and_large_lists_have_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    centers = rng.normal(size=(200, 16)) * 20
+    x = centers[rng.integers(0, 200, 4_000)] + rng.normal(size=(4_000, 16))
+    few, many = neighbours.Index(x, 10_000), neighbours.Index(rng.normal(size=(4_000, 16)), 10_000)
+    assert few.probes <= 20 < many.probes
+    monkeypatch.setattr(neighbours, "BLOCK", 1_000)
+    sizes = np.full(len(few.coarse), 100)
+    sizes[7] = 4_500
+    few.deal(sizes)
+    assert few.parts_of[7] == 5 and (np.delete(few.parts_of, 7) == 1).all()
+    load = np.bincount(np.delete(few.first, 7), np.delete(sizes, 7))
+    assert load.max() <= 1_000 and not np.isin(np.delete(few.first, 7), np.arange(few.first[7], few.first[7] + 5)).any()
+    assert len(few.blocks_of(x[0])) < len(load) / 2
+
+
 def test_neighbours_edges(spark):
     one = [1.0, 0.0, 0.0]
     vectors = [(i, one) for i in range(0, 30)] + [(100, [0.0, 1.0, 0.0]), (101, None), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 0.0]), (104, [float("nan"), 1.0, 0.0]), (105, [1.0, 2.0]), (None, one), (100, [0.0, 1.0, 0.0]), (200, [0.0, 0.9, 0.1])]
@@ -178,6 +212,16 @@ def test_neighbours_edges(spark):
     assert [r.vec_id for r in neighbours.nearest(frame.where("vec_id in (0, 100)"), F.col("vec_id") == 0).collect()] == [100]
 
 
+def test_formulas_and_drawings_are_read():
+    rng = np.random.default_rng(5)
+    words = lambda n: " ".join(f"word{x}" for x in rng.integers(0, 500, n))
+    paragraphs = [f"{words(60)}." for _ in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<html><head><title>T</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article>{body}<p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc2</mi></math> as {words(40)}.</p><script>var x = 1;</script></article></body></html>"
+    (got,) = html.main_text([page], html.fitted())
+    assert "Energy is E=mc2 as" in got and "var x" not in got and got.startswith(paragraphs[0])
+
+
 def test_main_text_of_made_pages():
     rng = np.random.default_rng(2024)
     sources, wanted = zip(*(html.made_page(rng) for _ in range(150)))
