@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import signed, text_chunks
+from .common import lean, signed, text_chunks
 
 #: sha256 of nothing
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -37,7 +37,7 @@ def anchor_rows(docs: DataFrame, anchors: Callable) -> DataFrame:
                 to = slice(at, at + (1 << 16))
                 yield pa.record_batch([pa.array(signed(hashes[first[to]])), ids.slice(at, 1 << 16), pa.array(n[to])], schema=schema)
 
-    return docs.mapInArrow(run, "hash long, doc_id long, n int")
+    return docs.mapInArrow(lean(run), "hash long, doc_id long, n int")
 
 
 def documents_with_repeats(rows: DataFrame, reps: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 #: Made pages that the trees are fitted on, and their seed.
 PAGES, SEED = 500, 11
@@ -421,7 +421,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 at = stop
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

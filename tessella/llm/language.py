@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, spare, table, texts
+from .common import lean, ship, spare, table, texts
 
 #: The bound of the sample that dictionaries are made of: documents of each language, and bytes of each document and dictionary.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 4_096, 65_536
@@ -94,7 +94,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
 
     frame = docs.select(*(F.col(f"`{c}`") for c in kept), lettered.alias(mark))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*(F.col(f"`{c}`") for c in kept)).schema)
-    return frame.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    return frame.mapInArrow(lean(run), f"{fields}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:

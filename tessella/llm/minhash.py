@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialize, mix64, signed, spare, table, text_chunks, texts, word_hashes, word_spans
+from .common import Rolling, lean, materialize, mix64, signed, spare, table, text_chunks, texts, word_hashes, word_spans
 from .graph import components
 
 BANDS, ROWS = 32, 4
@@ -143,7 +143,7 @@ def _sets_of(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """(class_id, shingles) of the classes in ids (class_id, s1, s2), from their whole texts. The merge hint keeps the plan alike at every size."""
     run, schema = _full_sets(width)
     wanted = ids.withColumnRenamed("class_id", "doc_id")
-    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(run, schema)
+    sets = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(lean(run), schema)
     return materialize(sets.join(wanted, ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("class_id"), "shingles"), "sets")
 
 
@@ -153,7 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return (
         pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
-        .mapInArrow(run, schema)
+        .mapInArrow(lean(run), schema)
         .distinct()
     )
 
@@ -171,7 +171,7 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
                     part = s[at : at + (1 << 16)]
                     yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), ids[i].as_py()))], schema=schema)
 
-    rows = sets.select("class_id", "shingles").mapInArrow(run, "shingle long, class_id long")
+    rows = sets.select("class_id", "shingles").mapInArrow(lean(run), "shingle long, class_id long")
     lone = rows.groupBy("shingle").agg(F.min("class_id").alias("class_id"), F.max("class_id").alias("last")).where("class_id = last")
     return lone.groupBy("class_id").agg(F.count("*").alias("own"))
 
@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most_dif
     """
     docs = texts(docs)
     run, schema = _fingerprints(width)
-    prints = materialize(docs.mapInArrow(run, schema), "prints")
+    prints = materialize(docs.mapInArrow(lean(run), schema), "prints")
     real = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
     ids = real.groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"))
     columns = ["n_shingles", "keys", *(f"w{j}" for j in range(4))]
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, most_dif
     mixed = materialize(named.join(main, "key"), "mixed")
     if sketch_differ is not None:
         left = mixed.select("class_id").distinct()
-        sketches = sets.join(left, "class_id").select("class_id", "shingles").mapInArrow(_sketched, "class_id long, " + ", ".join(f"z{j} long" for j in range(SKETCH // 64)))
+        sketches = sets.join(left, "class_id").select("class_id", "shingles").mapInArrow(lean(_sketched), "class_id long, " + ", ".join(f"z{j} long" for j in range(SKETCH // 64)))
         mixed = mixed.join(sketches, "class_id")
         differ = sum((F.bit_count(F.col(f"m.z{j}").bitwiseXOR(F.col(f"c.z{j}"))) for j in range(SKETCH // 64)), F.lit(0))
         able = able & (differ <= sketch_differ)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, table
+from .common import lean, materialize, ship, table
 
 #: The bound of the sample that centroids and codebooks are fitted on.
 SAMPLE = 16_384
@@ -203,7 +203,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     sample = np.array([r["vector"] for r in classes.orderBy(F.xxhash64("class_id", F.lit(7)), "class_id").select("vector").limit(SAMPLE).collect()])
     index = Index(sample, count, k)
     run, schema = _coded(index)
-    codes = materialize(classes.select("class_id", "vector").mapInArrow(run, schema), "codes")
+    codes = materialize(classes.select("class_id", "vector").mapInArrow(lean(run), schema), "codes")
     sizes = np.zeros(len(index.coarse), np.int64)
     for r in codes.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
@@ -212,7 +212,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     codes = codes.join(F.broadcast(places), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("class_id"), F.col("parts"))).drop("first", "parts")
     mine = rows.where("asked").select(F.col("vec_id").alias("query_id"), "vector")
     run, schema = _asked(index)
-    asking = mine.mapInArrow(run, schema)
+    asking = mine.mapInArrow(lean(run), schema)
     run, schema = _scanned(index, 2 * RERANK * k, k)
     found = asking.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(run, schema)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("near", "class_id"))).where(f"n <= {RERANK * k}").select("query_id", "class_id")

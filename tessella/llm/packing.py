@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import lean, materialize, table, texts
 from .tokens import crc, encoded, tokenizer_path
 
 #: (share of a sequence from which a length is large, groups of equal cardinality) to plan with; the plan with the fewest sequences holds.
@@ -184,7 +184,7 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = 0, capacity
     Null or empty text: the end id alone. Null or repeated doc_ids are documents like others. Empty table: no rows.
     """
     run, schema = _pieces(path, spaced, end, capacity, with_ids)
-    pieces = materialize(texts(docs).mapInArrow(run, schema), "pieces")
+    pieces = materialize(texts(docs).mapInArrow(lean(run), schema), "pieces")
     buckets = max(1, min(4096, pieces.count() // BUCKET_ROWS))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counts = materialize(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str, spaced: bool = True, end: int = 0, capacity
             named = [batch.column(batch.schema.get_field_index(x)) for x in columns]
             yield pa.record_batch([*named, pa.array(sequence[at] + k // many[at]), pa.array(offset[at] + k % many[at] * n)], names=[*columns, "sequence_id", "offset"])
 
-    return ranked.select(*columns, "rank").mapInArrow(place, schema + ", sequence_id long, offset long")
+    return ranked.select(*columns, "rank").mapInArrow(lean(place), schema + ", sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

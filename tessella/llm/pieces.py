@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix64, ship, table, texts
+from .common import Rolling, lean, mix64, ship, table, texts
 from .tokens import crc, tokenizer_path
 
 #: Weight of a piece's score in a segmentation's log probability; a larger one keeps closer to the best segmentation.
@@ -296,7 +296,7 @@ def encode_sampled(docs: DataFrame, model: str, seed: int = SEED) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32)))], names=["doc_id", "ids"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
@@ -310,7 +310,7 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
             texts_ = [None if x is None else tool.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts_, pa.string())], names=["doc_id", "text"])
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def sampled_digest(docs: DataFrame, model: str, seed: int = SEED) -> DataFrame:
@@ -325,7 +325,7 @@ def sampled_digest(docs: DataFrame, model: str, seed: int = SEED) -> DataFrame:
                 ids = tool.encode(own, row_keys(part.column(0).to_pylist(), seed))
                 yield pa.record_batch([part.column(0), pa.array([len(t) for t in own], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([crc(x) for x in ids], pa.int64()), pa.array([tool.decode(x) == t for x, t in zip(ids, own)], pa.bool_())], schema=schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

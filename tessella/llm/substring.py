@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import EMPTY_SHA, anchor_rows, doc_slices, documents_with_repeats
-from .common import _SPACE, Rolling, discard, materialize, mix64, signed, table, text_chunks, texts, word_hashes, word_spans
+from .common import _SPACE, Rolling, discard, lean, materialize, mix64, signed, table, text_chunks, texts, word_hashes, word_spans
 
 #: A perfect difference set: for any two positions some shift below PERIOD puts both on the cover.
 PERIOD = 31
@@ -174,7 +174,7 @@ def drop_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     if width < PERIOD:
         raise ValueError(f"width must be at least {PERIOD}")
     docs = texts(docs)
-    scan = materialize(docs.mapInArrow(_scan, "doc_id long, n_words long, sha string"), "scan")
+    scan = materialize(docs.mapInArrow(lean(_scan), "doc_id long, n_words long, sha string"), "scan")
     first = scan.groupBy("sha").agg(F.min("doc_id").alias("first"))
     reps = scan.where(f"n_words >= {width} AND doc_id IS NOT NULL").join(first, "sha").where("doc_id = first").select("doc_id", "sha").distinct()
     reps = reps.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha")))
@@ -190,10 +190,10 @@ def drop_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     again = documents_with_repeats(anchor_rows(docs.where("doc_id IS NOT NULL"), anchors), reps)
     again = materialize(again.join(reps, "doc_id"), "anchored")
     zone = docs.join(again, "doc_id")
-    zone = materialize(zone.mapInArrow(_own, zone.schema), "zone")
+    zone = materialize(zone.mapInArrow(lean(_own), zone.schema), "zone")
     discard(again)
     run, schema = _windows(width)
-    windows = materialize(zone.mapInArrow(run, schema), "windows")
+    windows = materialize(zone.mapInArrow(lean(run), schema), "windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = materialize(least, "least")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("start") % 64)
@@ -203,7 +203,7 @@ def drop_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     discard(windows)
     discard(least)
     run, schema = _cut(width)
-    cut = zone.select("doc_id", "twin", "sha", "text").join(starts, ["doc_id", "twin"]).mapInArrow(run, schema).dropDuplicates(["doc_id", "sha"])
+    cut = zone.select("doc_id", "twin", "sha", "text").join(starts, ["doc_id", "twin"]).mapInArrow(lean(run), schema).dropDuplicates(["doc_id", "sha"])
     out = scan.join(first, "sha").join(cut, ["doc_id", "sha"], "left")
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= width)
     return out.select(

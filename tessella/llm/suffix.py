@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import EMPTY_SHA, anchor_rows, doc_slices, documents_with_repeats
-from .common import _BYTES, Rolling, materialize, mix64, signed, spare, table, text_chunks, texts
+from .common import _BYTES, Rolling, lean, materialize, mix64, signed, spare, table, text_chunks, texts
 
 #: Fragments sorted together, at least; a collection ends with its last anchor.
 COLLECTION = 16_384
@@ -268,23 +268,23 @@ def repeated_bytes(docs: DataFrame, width: int = 200, with_text: bool = False) -
     zone = own.join(again, (F.col("_sha") == F.col("sha")) & F.col("_id").eqNullSafe(F.col("first"))).drop("_id", "_sha", "first")
     zone = materialize(zone.dropDuplicates(["doc_id", "sha"]), "zone")
     run, schema = _meta(width)
-    meta = materialize(zone.mapInArrow(run, schema), "fragments")
+    meta = materialize(zone.mapInArrow(lean(run), schema), "fragments")
     alike = materialize(meta.groupBy("hash", "f1", "f2").agg(F.least(F.lit(2), F.sum("weight")).cast("int").alias("n"), F.min(F.struct("doc_id", "start", "windows", "anchor")).alias("at")), "alike")
     groups = alike.groupBy("hash").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1")
     wanted = alike.join(groups, "hash").select("at.doc_id", F.struct("hash", "at.start", "at.windows", "at.anchor", "n", (F.col("k") > CROWDED).alias("crowded")).alias("w"))
     run, schema = _bytes_of(width)
-    pieces = zone.select("doc_id", "text").join(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")), "doc_id").mapInArrow(run, schema)
+    pieces = zone.select("doc_id", "text").join(wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")), "doc_id").mapInArrow(lean(run), schema)
     pieces = materialize(pieces, "pieces")
     run, schema = _sort_collections(width)
-    sorted_ = pieces.where("NOT crowded").repartition("hash").sortWithinPartitions("hash").mapInArrow(run, schema)
+    sorted_ = pieces.where("NOT crowded").repartition("hash").sortWithinPartitions("hash").mapInArrow(lean(run), schema)
     run, schema = _each_window(width)
-    single = pieces.where("crowded").mapInArrow(run, schema)
+    single = pieces.where("crowded").mapInArrow(lean(run), schema)
     often = single.groupBy("w1", "w2").agg(F.sum("n").alias("k")).where("k > 1").select("w1", "w2")
     counted = single.where("n = 1").join(often, ["w1", "w2"]).select("doc_id", "start", F.lit(1).alias("windows"))
     whole = meta.join(alike.where("n > 1").select("hash", "f1", "f2"), ["hash", "f1", "f2"]).select("doc_id", "start", "windows")
     found = whole.unionByName(sorted_).unionByName(counted).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("found"))
     run, schema = _cut(width)
-    cut = zone.where("weight = 1").select("doc_id", "sha", "text").join(found, "doc_id").mapInArrow(run, schema)
+    cut = zone.where("weight = 1").select("doc_id", "sha", "text").join(found, "doc_id").mapInArrow(lean(run), schema)
     if not with_text:
         cut = cut.drop("kept")
     out = scan.join(copies, "sha").join(cut.drop("doc_id"), "sha", "left")

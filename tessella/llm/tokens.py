@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, shared_dir, table, texts
+from .common import fresh_path, lean, materialize, shared_dir, table, texts, trim
 
 #: Parts of texts whose ids a Python worker keeps; beyond that those go that were met once since the last time.
 CACHED = 700_000
@@ -124,7 +124,12 @@ _IDLE: list[threading.Timer] = []
 
 def _rest() -> None:
     """Give the encoder up unless it is asked for soon."""
-    timer = threading.Timer(IDLE_S, _ENCODERS.clear)
+
+    def give_up() -> None:
+        _ENCODERS.clear()
+        trim()
+
+    timer = threading.Timer(IDLE_S, give_up)
     timer.daemon = True
     _IDLE.append(timer)
     timer.start()
@@ -226,7 +231,7 @@ def write_token_files(docs: DataFrame, path: str, spaced: bool, end: int) -> Dat
     kind = id_kind(path, end)
     run, schema = _write(fresh_path(spark, "tokens"), path, spaced, end, kind)
     ordered = texts(docs).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = sorted(materialize(ordered.mapInArrow(run, schema), "shards").collect())
+    shards = sorted(materialize(ordered.mapInArrow(lean(run), schema), "shards").collect())
     base, rows = 0, []
     for s in shards:
         rows.append((*s, kind, base))
@@ -248,7 +253,7 @@ def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
                     o, d = np.asarray(offsets[at : at + 10_001]), np.asarray(docs[at : at + 10_000])
                     yield pa.record_batch([pa.array(d, mask=d == NO_ID), pa.array(row["base"] + o[:-1]), pa.array(np.diff(o)), pa.array([crc(ids[a:b]) for a, b in zip(o, o[1:])], pa.int64())], schema=schema)
 
-    return shards.repartition(max(1, shards.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, shards.count())).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, spaced: bool = False, end: int = 1) -> DataFrame:
