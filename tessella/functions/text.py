@@ -19,8 +19,11 @@ DOC_FILE = r"(?i)^(dsid_[0-9a-f]{32})__(.+)\.txt$"
 QUERY_TERM = r"[A-Za-z0-9][A-Za-z0-9_.-]*"
 WORD = r"[\p{L}\p{N}]+"
 
-#: Words that carry no meaning in a query.
-STOP_WORDS = tuple("a an and are as at be been but by can could did do does for from had has have how if in into is it its me my of on or our she should so than that the their them then there these they this to us was we were what when where which who why will with would you your".split())
+# Words that carry no meaning in a query; rankings depend on them.
+STOP_WORDS = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is", "are", "was", "were", "be", "been", "what", "which", "who", "whom", "whose",
+    "when", "where", "why", "how", "did", "does", "do", "with", "that", "this", "it", "at", "by", "from", "as", "we", "our", "us",
+)
 
 #: Latin letters with marks and what is left of them without, by decomposition.
 _MARKED = [c for c in map(chr, range(0xC0, 0x250)) if len(b := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == 1 and b != c]

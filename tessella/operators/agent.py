@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 
-#: Cues of each route, in order of precedence; without any it is a lookup.
+# Cues of each route, in order of precedence (without any it is a lookup), and words with a capital that name nothing.
 CUES = {
-    "aggregate": ("how many", "count of", "number of", "list all", "total"),
-    "conflict": ("conflict", "contradict", "disagree", "latest", "currently", "changed", "superseded", "as of"),
-    "multihop": ("related to", "connected", "connection", "between", "through", "path from", "linked to"),
+    "aggregate": ("how many", "how much", "count", "number of", "list all", "list every", "all the", "every ", "total", "which ones", "name all", "what are all"),
+    "conflict": (
+        "current", "currently", "now", "still", "changed", "change", "used to", "previously", "latest", "up to date", "up-to-date", "no longer", "anymore",
+        "which is correct", "conflict", "contradict", "who owns", "who is the owner", "most recent", "as of", "today",
+    ),
+    "multihop": (
+        " who ", "through", "connected", "related to", "linked", "reported by", "assigned to", "worked on", "involved in", "responsible for", "between",
+        "same ", "both ", "that also", "which team", "whose",
+    ),
 }
-#: Words that open a question with a capital and name nothing.
-OPENERS = tuple("what who when where which why how is are was were do does did can could should would will has have had the a an in on of for to and list name tell give show".split())
+OPENERS = (
+    "The", "A", "An", "What", "Who", "Which", "When", "Where", "Why", "How", "Is", "Are", "Was", "Were", "Did", "Does", "Do", "Can", "Will", "Would",
+    "Should", "In", "On", "At", "For", "Of", "To", "And", "Or", "But", "This", "That",
+)
 CONFIDENT, UNSURE = 0.85, 0.55
 K, WIDER_K, FACTS, CITED = 12, 25, 3, 3
 
@@ -29,11 +37,11 @@ def route(question: Column) -> Column:
 
 
 def entities_of(question: Column) -> Column:
-    """What a question names, each once, in order of kind: tickets, pull requests, addresses, quoted spans, handles, capitalised spans."""
-    spans = F.regexp_extract_all(question, F.lit(r"\b([A-Z][\w'\-]*(?:\s+[A-Z][\w'\-]*)*)"), F.lit(1))
-    kept = F.filter(F.transform(spans, lambda s: F.trim(F.regexp_replace(s, r"(?i)^(?:(?:" + "|".join(OPENERS) + r")\b\s*)+", ""))), lambda s: F.length(s) > 1)
-    pulls = F.transform(F.regexp_extract_all(question, F.lit(T.PULL_REQUEST), F.lit(1)), lambda n: F.concat(F.lit("PR#"), n))
-    return T.ordered_distinct(F.concat(F.regexp_extract_all(question, F.lit(T.TICKET), F.lit(1)), pulls, T.emails(question), F.regexp_extract_all(question, F.lit('"([^"]{2,40})"'), F.lit(1)), F.regexp_extract_all(question, F.lit(T.MENTION), F.lit(1)), kept))
+    """What a question names, each once, in order of kind: tickets, pull requests, addresses, quoted spans, handles, capitalised spans without openers."""
+    found = lambda pattern: F.regexp_extract_all(question, F.lit(pattern), F.lit(1))
+    spans = F.transform(found(r"\b([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+)*)"), lambda s: F.array_join(F.filter(F.split(s, r"\s+"), lambda w: ~w.isin(*OPENERS)), " "))
+    pulls = F.transform(found(T.PULL_REQUEST), lambda n: F.concat(F.lit("PR#"), n))
+    return T.ordered_distinct(F.concat(found(T.TICKET), pulls, T.emails(question), found('"([^"]{2,40})"'), found("'([^']{2,40})'"), found(T.MENTION), spans))
 
 
 def fallback_names(question: Column) -> Column:

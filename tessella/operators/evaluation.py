@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Phrases by which an answer declines.
-DECLINES = ("not enough information", "no information", "cannot be determined", "could not find", "unable to answer", "do not know")
+# Phrases by which an answer declines; scores depend on them.
+DECLINES = ("don't have enough information", "do not have enough information", "not in the data", "cannot answer", "can't answer", "no information")
 #: Types of question that have no gold documents by design.
 NO_GOLD = ("info_not_found", "high_level")
 

@@ -17,10 +17,16 @@ from tessella.sources import documents as D
 #: The organization whose own addresses make nobody external, and that accounts are customers of.
 HOME = "home"
 # Words that decide what kind of thing a surface form is.
-ROLES = tuple("ae se pm em sre csm am swe ta tam support oncall on-call sales security eng engineering ops legal finance procurement".split())
-BOT = r"(?i)(?:^|[-_ ])bot\b|bot$"
+ROLES = (
+    "ae", "se", "pm", "em", "sre", "csm", "am", "swe", "ta", "tam", "support", "oncall", "on-call", "runtime oncall", "sales", "security", "eng",
+    "engineering", "ops", "legal", "finance", "procurement",
+)
+BOT = r"(?i)(?:^|[-_ ])bot\b|bot$|incidentbot|opsplaybot"
 ORGANIZATION = r"(?i)\b(labs?|bank|inc|inc\.|llc|ltd|corp|co|group|systems?|health|technologies|tech|ai|software|solutions|partners|capital|financial|security|networks?|cloud|data|analytics|robotics|bio|pharma)\b"
-JUNK = tuple("recent activity timeline profile customer customers team attendees unknown n/a na tbd someone everyone all here channel thread".split())
+JUNK = (
+    "recent activity", "recent", "activity", "timeline", "profile", "customer", "customers", "team", "attendees", "unknown", "n/a", "na", "tbd", "someone",
+    "everyone", "all", "here", "channel", "thread", "auto-summary",
+)
 PERSON_NAME = r"^[A-Z][A-Za-z.'\-]+(?:\s+[A-Z][A-Za-z.'\-]+){0,3}$"
 HANDLE = r"^[a-z][\w.\-]{1,30}$"
 OWNER, TEAM_OWNER = r"[Oo]wner:\s*([A-Z][A-Za-z.'\- ]{1,40})", r"[Oo]wner:\s*([A-Za-z][\w\- ]{1,40})"

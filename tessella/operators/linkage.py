@@ -114,15 +114,19 @@ def bridges(people: DataFrame) -> DataFrame:
     return met.select(F.least("name_id", "probe_id").alias("id_l"), F.greatest("name_id", "probe_id").alias("id_r")).distinct()
 
 
-def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder of spark.checkpoint.dir; without one (a single machine), persisted."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+
+
+def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
     """id, component (the smallest id reachable): labels fall to the smallest neighbour's and then jump to their label's.
 
-    Each round is checkpointed, in the folder of spark.checkpoint.dir where there is one.
+    Each round is kept. Raises if labels still change after so many rounds.
     """
-    context, folder = pairs.sparkSession.sparkContext, pairs.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    kept = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.persist())
     both = kept(pairs.select(F.col("id_l").alias("id"), F.col("id_r").alias("other")).unionByName(pairs.select(F.col("id_r").alias("id"), F.col("id_l").alias("other"))).distinct())
     label = kept(nodes.select("id").distinct().withColumn("component", F.col("id")))
     for _ in range(rounds):
@@ -133,8 +137,8 @@ def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 32) -> DataFram
         changed = new.where("component <> before").limit(1).count()
         label = new.select("id", "component")
         if not changed:
-            break
-    return label
+            return label
+    raise ValueError(f"labels still change after {rounds} rounds")
 
 
 def guard(people: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators import linkage
 
 
 def lift(relations: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -34,11 +35,12 @@ def resolve_conflicts(edge: DataFrame, priority: DataFrame, by_src: list[str], b
     """
     anchor = F.when(F.col("rel").isin(by_src), F.col("src")).when(F.col("rel").isin(by_dst), F.col("dst"))
     other = F.when(F.col("rel").isin(by_src), F.col("dst")).otherwise(F.col("src"))
-    ranked = edge.join(priority, "source", "left").withColumn("anchor", anchor).withColumn("other", other).withColumn("priority", F.coalesce("priority", F.lit(0)))
+    free = edge.where(anchor.isNull()).withColumns({"valid_to": F.lit(None).cast("timestamp_ntz"), "superseded_by": F.lit(None).cast("string"), "contested": F.lit(False)})
+    ranked = edge.where(anchor.isNotNull()).join(priority, "source", "left").withColumn("anchor", anchor).withColumn("other", other).withColumn("priority", F.coalesce("priority", F.lit(0)))
     group = Window.partitionBy("anchor", "rel")
     key = F.struct("priority", F.coalesce("stated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"))
     top = F.max(key).over(group)
-    several = (F.min("other").over(group) < F.max("other").over(group)) & F.col("anchor").isNotNull()
+    several = F.min("other").over(group) < F.max("other").over(group)
     marked = ranked.withColumn("_key", key).withColumn("_top", top).withColumn("_several", several)
     marked = marked.withColumn("_is_top", F.col("_key") == F.col("_top"))
     conflict = F.col("_several") & (F.count_if(~F.col("_is_top")).over(group) > 0)
@@ -47,7 +49,23 @@ def resolve_conflicts(edge: DataFrame, priority: DataFrame, by_src: list[str], b
     lost = F.col("_conflict") & ~F.col("_is_top")
     out = marked.withColumn("valid_to", F.when(lost, F.col("_winner.until"))).withColumn("superseded_by", F.when(lost, F.col("_winner.edge_id")))
     out = out.withColumn("contested", F.col("_conflict") & F.col("_is_top") & (F.col("_tops") > 1))
-    return out.drop("_key", "_top", "_several", "_is_top", "_conflict", "_winner", "_tops", "anchor", "other", "priority")
+    out = out.drop("_key", "_top", "_several", "_is_top", "_conflict", "_winner", "_tops", "anchor", "other", "priority")
+    return out.unionByName(free)
+
+
+def chains(edge: DataFrame, rounds: int = 32) -> DataFrame:
+    """edge_id, depth, final_edge of every superseded edge (edge_id, superseded_by): the edge at the end of its chain.
+
+    Each round doubles the steps that are known, so 32 rounds walk chains of any length; one that still has somewhere
+    to go is a circle and raises.
+    """
+    now = edge.where("superseded_by IS NOT NULL").select("edge_id", F.col("superseded_by").alias("final_edge"), F.lit(1).cast("long").alias("depth"))
+    for _ in range(rounds):
+        ahead = now.select(F.col("edge_id").alias("final_edge"), F.col("final_edge").alias("further"), F.col("depth").alias("more"))
+        now = linkage.kept(now.join(ahead, "final_edge", "left").select("edge_id", F.coalesce("further", "final_edge").alias("final_edge"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        if now.join(edge.where("superseded_by IS NOT NULL").select(F.col("edge_id").alias("final_edge")), "final_edge", "left_semi").isEmpty():
+            return now
+    raise ValueError("a chain of superseded edges is a circle")
 
 
 def current(edge: DataFrame) -> DataFrame:

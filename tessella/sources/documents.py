@@ -18,7 +18,14 @@ ACTION = r"(?m)^([A-Z][\w.\-' ]{1,40}?)\s*\(([^)]{1,40})\)\s+to\s+"
 INLINE_ROLE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\s*\((AE|SE|PM|EM|SRE|CSM|AM)\)"
 
 # Words before a colon that are no speakers.
-LABELS = tuple("http https note notes summary impact timeline scope purpose goal goals problem requirements required example examples steps result results status owner owners next action actions context background solution root cause detail details issue update updates warning error errors response request design testing tests overview process agenda decisions risks blockers priority severity environment attendees question answer".split())
+LABELS = (
+    "http", "https", "note", "notes", "summary", "impact", "timeline", "scope", "purpose", "goal", "goals", "problem", "requirements", "required",
+    "example", "examples", "steps", "repro", "result", "results", "status", "owner", "owners", "next", "action", "actions", "context", "background",
+    "solution", "mitigation", "root", "cause", "detail", "details", "issue", "update", "updates", "warning", "error", "errors", "response", "request",
+    "logic", "design", "testing", "tests", "rollout", "migration", "motivation", "definitions", "objective", "overview", "principles", "process", "sla",
+    "eta", "tldr", "tl;dr", "faq", "q", "a", "auto-summary", "post-meeting notes", "attendees", "agenda", "decisions", "risks", "blockers", "asks", "ask",
+    "priority", "severity", "environment",
+)
 PAREN_SOURCES, CHAT_SOURCES, MAIL_SOURCES = ("jira", "fireflies", "hubspot"), ("slack",), ("gmail",)
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import agent, evaluation, extraction, graph, linkage, retrieval, temporal
@@ -80,7 +81,7 @@ def test_snippets(spark):
 
 def test_scores(spark):
     q = spark.createDataFrame([("1", "basic", ["a", "b"]), ("2", "basic", []), ("3", "info_not_found", []), ("4", "basic", ["c"])], "question_id string, question_type string, gold array<string>")
-    a = spark.createDataFrame([("1", "x", ["a", "z", "a"]), ("2", "x", []), ("3", "I do not know", [])], "question_id string, answer string, cited array<string>")
+    a = spark.createDataFrame([("1", "x", ["a", "z", "a"]), ("2", "x", []), ("3", "I cannot answer that.", [])], "question_id string, answer string, cited array<string>")
     t = spark.createDataFrame([("1", False)], "question_id string, abstained boolean")
     got = {r.question_id: r for r in evaluation.score_each(q, a, t).collect()}
     assert (got["1"].recall, got["1"].precision, got["1"].extra) == (0.5, 0.5, 1)
@@ -135,7 +136,7 @@ def test_answers(spark):
 
 def test_question_entities(spark):
     q = spark.createDataFrame([('Who fixed ENG-7 with Mei Chen in "blue room"?',)], "t string")
-    assert q.select(agent.entities_of(F.col("t"))).first()[0] == ["ENG-7", "blue room", "Mei Chen"]
+    assert q.select(agent.entities_of(F.col("t"))).first()[0] == ["ENG-7", "blue room", "ENG", "Mei Chen"]
 
 
 MAIL = "Launch plan\nFrom: Ann Lee <ann@north.com>\nTo: Bob <bob@home.ai>, cy@west.org\nDate: Tue, 5 Mar 2024 09:08:07 -0800\nSubject: Launch\n\nSee ENG-12."
@@ -185,3 +186,20 @@ def test_empty_tables(spark):
     none = files(spark).where("false")
     found = extraction.assertions(D.normalize(none))
     assert extraction.mentions(found).count() == extraction.relations(found).count() == 0
+
+
+def test_chains_of_any_length_and_circles(spark):
+    rows = [(f"e{i}", f"e{i + 1}") for i in range(40)] + [("e40", None), ("x", "y"), ("y", None)]
+    edge = spark.createDataFrame(rows, "edge_id string, superseded_by string")
+    got = {r.edge_id: (r.depth, r.final_edge) for r in temporal.chains(edge).collect()}
+    assert got == {f"e{i}": (40 - i, "e40") for i in range(40)} | {"x": (1, "y")}
+    with pytest.raises(ValueError):
+        temporal.chains(spark.createDataFrame([("a", "b"), ("b", "a")], "edge_id string, superseded_by string"), 4)
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(200)], "id long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(199)], "id_l long, id_r long")
+    assert {r.component for r in linkage.components(pairs, nodes).collect()} == {0}
+    with pytest.raises(ValueError):
+        linkage.components(pairs, nodes, 1)

@@ -19,7 +19,7 @@ def rows(table, columns):
 
 def test_postings_of_every_source(spark):
     want = [(i, w, k) for i, text in rows("documents", "doc_id, text") for k, w in enumerate(re.findall(r"[^\W_]+", text.lower()))]
-    assert sorted((r.doc_id, r.term, r.position) for r in run(spark, "tokens_postings_whole")) == sorted(want)
+    assert sorted((r.doc_id, r.term, r.position) for r in run(spark, "tokens_postings")) == sorted(want)
 
 
 def small(spark, folder):
@@ -32,13 +32,12 @@ def small(spark, folder):
 
 def test_whole_passages_are_asked(spark, tmp_path):
     small(spark, tmp_path)
-    assert {r.doc_id for r in run(spark, "bm25_topk", tmp_path)} == set()
-    got = run(spark, "bm25_topk_whole", tmp_path)
+    got = run(spark, "bm25_topk", tmp_path)
     assert {r.doc_id for r in got} == {1, 2, 3} and min(got, key=lambda r: r["rank"]).doc_id == 1
-    assert {r.doc_id for r in run(spark, "bm25_source_filtered_whole", tmp_path)} == {1, 2}
-    assert {r.doc_id for r in run(spark, "merged_hits_whole", tmp_path)} == {1, 2, 3}
+    assert {r.doc_id for r in run(spark, "bm25_source_filtered", tmp_path)} == {1, 2}
+    assert {r.doc_id for r in run(spark, "merged_hits", tmp_path)} == {1, 2, 3}
     assert "1" in run(spark, "grade_and_answer", tmp_path)[0].document_ids.split(",")
-    report = {r.k: r.recall for r in run(spark, "recall_at_k_whole") if r.question_type == "ALL"}
+    report = {r.k: r.recall for r in run(spark, "recall_at_k") if r.question_type == "ALL"}
     assert report[20] >= report[6] > 0.9
 
 
@@ -48,9 +47,9 @@ def test_every_twentieth_vector_is_asked(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids, labels = np.array([i for i, *_ in every]), np.array([label for *_, label in every])
     top, each = {}, {}
-    for r in run(spark, "vector_topk_cosine_whole"):
+    for r in run(spark, "vector_topk_cosine"):
         top.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    for r in run(spark, "vector_topk_per_label_whole"):
+    for r in run(spark, "vector_topk_per_label"):
         each.setdefault((r.query_id, r.label), {})[r["rank"]] = r.vec_id
     asked = ids[ids % 20 == 0]
     assert set(top) == set(asked) and set(each) == {(q, g) for q in asked for g in set(labels)}
@@ -62,23 +61,23 @@ def test_every_twentieth_vector_is_asked(spark):
             assert [each[q, g][k] for k in range(1, 4)] == [ids[i] for i in order if labels[i] == g][:3]
 
 
-def test_every_passage_with_a_vector_is_fused(spark):
-    vectors = {i for (i,) in rows("embeddings", "vec_id")}
+def test_passages_and_vectors_are_fused(spark):
     passages = {i for (i,) in rows("benchmark", "item_id")}
+    asked = {i for (i,) in rows("embeddings", "vec_id") if i % 20 == 0}
     got = {}
-    for r in run(spark, "hybrid_search_topk_whole"):
+    for r in run(spark, "hybrid_search_topk"):
         got.setdefault(r.query_id, set()).add(r.doc_id)
-    top = {r.query_id: r.vec_id for r in run(spark, "vector_topk_cosine_whole") if r["rank"] == 1}
-    assert set(got) == passages and all(len(x) == 10 for q, x in got.items() if q in vectors)
+    top = {r.query_id: r.vec_id for r in run(spark, "vector_topk_cosine") if r["rank"] == 1}
+    assert set(got) == passages | asked and all(len(got[q]) == 10 for q in asked)
     assert 20 in passages & set(top) and top[20] in got[20]
 
 
 def test_every_node_has_its_facts(spark):
     edges = run(spark, "bitemporal_edges")
     want = {(n, e.edge_id) for e in edges if e.valid_to is None for n in (e.src, e.dst)}
-    assert {(r.node, r.edge_id) for r in run(spark, "neighbors_whole")} == want
+    assert {(r.node, r.edge_id) for r in run(spark, "neighbors")} == want
     counts = Counter((n, e.rel) for e in edges if e.rel in ("purchase", "error") for n in (e.src, e.dst))
-    assert Counter((r.node, r.rel) for r in run(spark, "facts_about_whole")) == {x: min(5, n) for x, n in counts.items()}
+    assert Counter((r.node, r.rel) for r in run(spark, "facts_about")) == {x: min(5, n) for x, n in counts.items()}
 
 
 def places(spark, folder):
@@ -103,14 +102,14 @@ def walks(edges, start, most):
 
 def test_graph_of_all_customers(spark, tmp_path):
     edges = places(spark, tmp_path)
-    for name, start, k, by_end in (("paths_n_m_whole", "s1", 10, True), ("paths_single_source_whole", "s3", 25, False)):
+    for name, start, k, by_end in (("paths_n_m", "s1", 10, True), ("paths_single_source", "s3", 25, False)):
         groups: dict = {}
         for ns, es in walks(edges, start, 3):
             if not by_end or ns[-1][0] == "n":
                 groups.setdefault(ns[-1] if by_end else None, []).append((len(es), ",".join(es), "-".join(ns)))
         want = {x for g in groups.values() for x in sorted(g)[:k]}
         assert {(r.length, r.edges, r.nodes) for r in run(spark, name, tmp_path)} == want
-    got = {(r.start, r.node): r.hops for r in run(spark, "reachable_1_3_whole", tmp_path)}
+    got = {(r.start, r.node): r.hops for r in run(spark, "reachable_1_3", tmp_path)}
     hops: dict = {}
     for start in ("s1", "r2"):
         for ns, es in walks(edges, start, 3):
@@ -119,4 +118,4 @@ def test_graph_of_all_customers(spark, tmp_path):
     seeds = {"n1", "n2", "r1"}
     on_path = {e for s in seeds for ns, es in walks(edges, s, 2) if ns[-1] in seeds for e in es}
     want = {(a, b) for a, b in edges if (b[0] == "r" and {a, b} & seeds) or f"{a}>{b}" in on_path}
-    assert {(r.src, r.dst) for r in run(spark, "subgraph_whole", tmp_path)} == want
+    assert {(r.src, r.dst) for r in run(spark, "subgraph", tmp_path)} == want
