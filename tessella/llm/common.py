@@ -20,7 +20,7 @@ from tessella import session
 CHUNK_BYTES = 2 << 20
 
 #: Bytes of an Arrow batch between the JVM and Python; a longer row is a batch of its own.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _WRITTEN: list[str] = []
 
