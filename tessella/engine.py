@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +36,20 @@ def entities_of(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """documents, entities, aliases and edges of a corpus, and the questions that can be put to them."""
+    """documents, entities, aliases and edges of a corpus, and the questions that can be put to them.
+
+    With an encoder of lists of texts, searches fuse keyword hits with those of vectors; without one they have keywords only.
+    """
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, entities: DataFrame, edges: DataFrame):
+    def __init__(self, spark: SparkSession, documents: DataFrame, entities: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None):
         self.spark, self.documents, self.edges = spark, documents, edges
+        self.vectors, self.encoder = vectors, encoder
         self.entities = entities
         self.nodes, self.aliases = graph.nodes(entities), graph.aliases(entities)
         self.texts = documents.select("doc_id", F.col("source_type").alias("source"), F.concat_ws("\n", "title", "body").alias("text"))
 
     @classmethod
-    def build(cls, spark: SparkSession, documents: DataFrame, ingested_at: Column, path: str | None = None) -> Engine:
+    def build(cls, spark: SparkSession, documents: DataFrame, ingested_at: Column, path: str | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None) -> Engine:
         """From normalized documents. With a path every table is written there and read back, stage by stage."""
 
         def kept(df: DataFrame, name: str) -> DataFrame:
@@ -58,19 +65,32 @@ class Engine:
         entities = kept(entities_of(mentions, clusters), "entities")
         lifted = temporal.lift(ontology.known(extraction.relations(found), "rel"), clusters)
         edges = temporal.resolve_conflicts(temporal.edges(lifted, ingested_at), F.broadcast(ontology.priorities(spark)), list(ontology.ONE_FOR_EACH_SOURCE), list(ontology.ONE_FOR_EACH_TARGET))
-        return cls(spark, docs, entities, kept(edges, "edges"))
+        vectors = kept(retrieval.embed(docs, encoder), "vectors") if encoder else None
+        return cls(spark, docs, entities, kept(edges, "edges"), vectors, encoder)
 
     @classmethod
-    def from_files(cls, spark: SparkSession, roots: list[str], ingested_at: Column, path: str | None = None) -> Engine:
-        return cls.build(spark, sources.normalize(sources.read_files(spark, roots)), ingested_at, path)
+    def from_files(cls, spark: SparkSession, roots: list[str], ingested_at: Column, path: str | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None) -> Engine:
+        return cls.build(spark, sources.normalize(sources.read_files(spark, roots)), ingested_at, path, encoder)
 
     def _node(self, *ids: str) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "node string")
 
+    def _hits(self, asked: DataFrame, k: int, kinds: list[str] | None = None) -> DataFrame:
+        """query_id, doc_id, score, rank for asked (query_id, text): by keywords, or fused with the nearest vectors."""
+        if self.encoder is None:
+            return retrieval.bm25(self.texts, asked, k, kinds)
+        pool, held = retrieval.pool(k), self.vectors.withColumnRenamed("doc_id", "vec_id")
+        if kinds is not None:
+            held = held.join(self.texts.where(F.col("source").isin(kinds)).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        shaped = asked.select(F.col("query_id").alias("doc_id"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
+        meant = retrieval.embed(shaped, self.encoder).withColumnRenamed("doc_id", "query_id")
+        near = retrieval.cosine_top_blocked(held, meant, pool).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+        return retrieval.fuse(retrieval.bm25(self.texts, asked, pool, kinds), near, k=k)
+
     def search(self, question: str, k: int = 12, kinds: list[str] | None = None, width: int = 8000) -> DataFrame:
         """The best documents with title, snippet, score and rank."""
         asked = self.spark.createDataFrame([(1, question)], "query_id long, text string")
-        hits = retrieval.bm25(self.texts, asked, k, kinds)
+        hits = self._hits(asked, k, kinds)
         return retrieval.hydrate(hits, self.texts, width, T.query_terms(F.lit(question))).drop("query_id").orderBy("rank")
 
     def docs(self, ids: list[str]) -> DataFrame:
@@ -119,7 +139,8 @@ class Engine:
         return self.spark.sql(query)
 
     def _facts(self, questions: DataFrame) -> DataFrame:
-        """question_id, facts: lines about the entities that questions name, and of paths between the first two in a multihop question."""
+        """question_id, facts, path_docs: lines about the entities that questions name, and of paths between the first two in
+        a multihop question, with the documents behind the paths."""
         named = questions.select("question_id", F.posexplode(agent.entities_of(F.col("question"))).alias("at", "name"))
         met = named.join(graph.find_entity(self.nodes, self.aliases, named.select("name").distinct()), "name").groupBy("question_id", F.col("canonical_id").alias("node")).agg(F.min("at").alias("at"))
         route = questions.select("question_id", agent.route(F.col("question")).alias("route"))
@@ -134,20 +155,23 @@ class Engine:
         every = every.join(names.select(F.col("canonical_id").alias("src"), F.col("name").alias("src_name")), "src", "left").join(names.select(F.col("canonical_id").alias("dst"), F.col("name").alias("dst_name")), "dst", "left")
         line = temporal.fact_line(F.col("rel"), F.coalesce("src_name", "src"), F.coalesce("dst_name", "dst"), F.col("valid_to"), F.col("contested"), F.col("source"))
         listed = every.withColumn("line", line).groupBy("question_id").agg(F.array_sort(F.collect_set(F.struct(F.col("valid_to").isNotNull().alias("past"), "at", "line"))).alias("l"))
-        return listed.select("question_id", F.array_distinct(F.transform("l", lambda x: x["line"])).alias("facts"))
+        behind = steps.select("question_id", F.explode("docs").alias("doc_id")).groupBy("question_id").agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("path_docs"))
+        return listed.select("question_id", F.array_distinct(F.transform("l", lambda x: x["line"])).alias("facts")).join(behind, "question_id", "left")
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """question_id, answer, document_ids, abstained, confidence, route for questions (question_id, question), all at once.
 
-        Questions that find nothing are searched once more, wider, by the words that may name something.
+        Questions that find nothing are searched once more, wider, by the words that may name something. Documents behind
+        the paths of a multihop question follow its hits.
         """
         numbered = questions.select("question_id", "question", F.xxhash64("question_id").alias("query_id"))
-        first = retrieval.bm25(self.texts, numbered.select("query_id", F.col("question").alias("text")), agent.K)
+        first = self._hits(numbered.select("query_id", F.col("question").alias("text")), agent.K)
         missed = numbered.join(first.select("query_id"), "query_id", "left_anti")
-        second = retrieval.bm25(self.texts, missed.select("query_id", F.array_join(agent.fallback_names(F.col("question")), " ").alias("text")), agent.WIDER_K)
+        second = self._hits(missed.select("query_id", F.array_join(agent.fallback_names(F.col("question")), " ").alias("text")), agent.WIDER_K)
         hits = retrieval.hydrate(agent.merge_hits(first, second), self.texts, 300)
         listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"), "title", "snippet", "score"))).alias("l"))
         shaped = listed.select("query_id", F.transform("l", lambda h: F.struct(h["doc_id"].alias("doc_id"), h["title"].alias("title"), h["snippet"].alias("snippet"), h["score"].alias("score"))).alias("hits"))
         none = F.array().cast("array<struct<doc_id:string,title:string,snippet:string,score:double>>")
         gathered = numbered.join(shaped, "query_id", "left").join(self._facts(questions), "question_id", "left")
-        return agent.answers(gathered.select("question_id", "question", F.coalesce("hits", none).alias("hits"), F.coalesce("facts", F.array().cast("array<string>")).alias("facts")))
+        hits = agent.with_path_documents(F.coalesce("hits", none), F.coalesce("path_docs", F.array().cast("array<string>")))
+        return agent.answers(gathered.select("question_id", "question", hits.alias("hits"), F.coalesce("facts", F.array().cast("array<string>")).alias("facts")))

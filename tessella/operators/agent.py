@@ -71,6 +71,12 @@ def answers(gathered: DataFrame) -> DataFrame:
     return gathered.select("question_id", said.alias("answer"), cited.alias("document_ids"), empty.alias("abstained"), sure.alias("confidence"), route(F.col("question")).alias("route"))
 
 
+def with_path_documents(hits: Column, docs: Column) -> Column:
+    """hits, followed by the documents of paths that are not among them, with a score of 0 and no text."""
+    more = F.array_except(docs, F.transform(hits, lambda h: h["doc_id"]))
+    return F.concat(hits, F.transform(more, lambda d: F.struct(d.alias("doc_id"), F.lit("").alias("title"), F.lit("").alias("snippet"), F.lit(0.0).alias("score"))))
+
+
 def merge_hits(first: DataFrame, second: DataFrame) -> DataFrame:
     """Hits (query_id, doc_id, rank) of two searches, each document once, the first search's before."""
     both = first.withColumn("turn", F.lit(0)).unionByName(second.withColumn("turn", F.lit(1)))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.functions import text as T
 from tessella.functions.udfs import porter
@@ -115,9 +116,13 @@ def cosine_top_blocked(vectors: DataFrame, queries: DataFrame, k: int, by: str |
 
     Queries and vectors are dealt into blocks of about `block` rows by hash; each pair of blocks is one product of
     matrices of which only the best of each query (and value) are kept, so that no side is broadcast or collected.
-    Vectors that are null or of another size than the query's have no score.
+    Vectors that are null or of another size than the query's have no score. Ids that are not of one type name
+    different things, else a query is not among its own results.
     """
     ship(vectors.sparkSession)
+    kinds = [queries.schema["query_id"].dataType, vectors.schema["vec_id"].dataType]
+    itself = kinds[0] != kinds[1]
+    types = [*(to_arrow_type(x) for x in kinds), pa.string(), pa.float64()]
     value = F.col(by).cast("string") if by else F.lit("")
 
     def blocks(rows: DataFrame, name: str, *columns: Column) -> DataFrame:
@@ -139,18 +144,18 @@ def cosine_top_blocked(vectors: DataFrame, queries: DataFrame, k: int, by: str |
                     if not ds:
                         continue
                     a, b = (np.array([x[1] for x in side], float) for side in (qs, ds))
-                    ids, groups = np.array([x[0] for x in ds], np.int64), np.array([str(x[2]) for x in ds])
+                    ids, groups = np.array([x[0] for x in ds]), np.array([str(x[2]) for x in ds])
                     with np.errstate(all="ignore"):
                         scores = np.round(a @ b.T / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)), 6)
                     for g in set(groups.tolist()):
                         own = np.flatnonzero(groups == g)
                         for j, (query, *_) in enumerate(qs):
-                            near = own[(ids[own] != query) & np.isfinite(scores[j, own])]
+                            near = own[np.isfinite(scores[j, own]) & (itself or ids[own] != query)]
                             best = near[np.lexsort((ids[near], -scores[j, near]))[:k]]
-                            out += [(query, int(ids[x]), None if ds[x][2] is None else g, float(scores[j, x])) for x in best]
-                yield pa.record_batch([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))], names=["query_id", "vec_id", "value", "score"])
+                            out += [(query, ds[x][0], None if ds[x][2] is None else g, float(scores[j, x])) for x in best]
+                yield pa.record_batch([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names=["query_id", "vec_id", "value", "score"])
 
-    near = q.crossJoin(v).select("d", "q").mapInArrow(run, "query_id long, vec_id long, value string, score double")
+    near = q.crossJoin(v).select("d", "q").mapInArrow(run, f"query_id {kinds[0].simpleString()}, vec_id {kinds[1].simpleString()}, value string, score double")
     return top(near, ["query_id", "value"], "vec_id", k)
 
 
@@ -206,3 +211,36 @@ def recall_report(gold: DataFrame, ranked: DataFrame, ks: tuple[int, ...]) -> Da
     each = cut.groupBy("query_id", "question_type", "k").agg(F.count("*").alias("gold"), F.count_if(F.col("rank") <= F.col("k")).alias("found"))
     out = each.rollup("k", "question_type").agg(F.count("*").alias("questions"), F.round(F.avg((F.col("found") > 0).cast("double")), 6).alias("recall"), F.round(F.sum("found") / F.sum("gold"), 6).alias("hit_rate"))
     return out.where("k IS NOT NULL").withColumn("question_type", F.coalesce("question_type", F.lit("ALL")))
+
+
+def ranked_at(ks: tuple[int, ...], search: Callable[[int], DataFrame]) -> DataFrame:
+    """k, query_id, doc_id of one search for each k: a fused search sizes its pool by k, so a cut of a longer one differs."""
+    out = None
+    for k in ks:
+        one = search(k).select(F.lit(k).alias("k"), "query_id", "doc_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def recall_summary(gold: DataFrame, ranked: DataFrame, indexed: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """question_type (OVERALL for all), k, n, reachable, ceiling, recall, recall_reachable, hit_rate.
+
+    gold: query_id, question_type, doc_id; ranked: as ranked_at gives it; indexed: doc_id of what can be found at all. A
+    question is reachable if one of its documents is indexed; the ceiling is the share of those.
+    """
+    kind = F.coalesce("question_type", F.lit("unknown")).alias("question_type")
+    held = gold.select("query_id", kind, "doc_id").distinct().join(indexed.select("doc_id").distinct().withColumn("held", F.lit(1)), "doc_id", "left")
+    each = held.crossJoin(F.broadcast(gold.sparkSession.createDataFrame([(k,) for k in ks], "k int")))
+    each = each.join(ranked.distinct().withColumn("hit", F.lit(1)), ["k", "query_id", "doc_id"], "left")
+    asked = each.groupBy("query_id", "question_type", "k").agg(F.count("*").alias("gold"), F.count("hit").alias("found"), (F.count("held") > 0).alias("near"))
+    hit = (F.col("found") > 0).cast("double")
+    out = asked.rollup("k", "question_type").agg(
+        F.grouping("question_type").alias("all"),
+        F.count("*").alias("n"),
+        F.count_if("near").alias("reachable"),
+        F.round(F.avg(F.col("near").cast("double")), 6).alias("ceiling"),
+        F.round(F.avg(hit), 6).alias("recall"),
+        F.round(F.coalesce(F.avg(F.when(F.col("near"), hit)), F.lit(0.0)), 6).alias("recall_reachable"),
+        F.round(F.sum("found") / F.sum("gold"), 6).alias("hit_rate"),
+    )
+    return out.where("k IS NOT NULL").withColumn("question_type", F.when(F.col("all") == 1, "OVERALL").otherwise(F.col("question_type"))).drop("all")

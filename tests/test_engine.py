@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessella import ontology
 from tessella.engine import Engine
-from tessella.operators import graph, service
+from tessella.operators import agent, completion, graph, retrieval, service
 from tessella.sources import documents as D
 from tessella.sources import products as P
 from tests.test_operators import NOW, files
@@ -99,3 +99,67 @@ def test_teams_from_nested_records(spark, tmp_path):
     employees = spark.createDataFrame([("eid_1", "Ann Lee"), ("eid_3", "Bob Ray"), ("eid_4", "Cy Fox"), ("eid_5", "Cy Fox")], "id string, name string")
     assert P.teams(products, employees).first().found == ["eid_1", "eid_2", "eid_3"]
     assert tuple(P.team_scores(products, employees).first())[1:] == (1.0, 1.0, 1.0)
+
+
+def test_search_with_vectors(spark, engine, tmp_path):
+    made = Engine.build(spark, D.normalize(files(spark)), NOW(), f"file://{tmp_path}/corpus", retrieval.hashed)
+    assert made.vectors.count() == 6
+    hits = made.search("what about ENG-12", 6).collect()
+    assert hits[0].doc_id == "d1" and [h.rank for h in hits] == list(range(1, len(hits) + 1)) and len(hits) > len(engine.search("what about ENG-12", 6).collect())
+    assert {r.doc_id for r in made.search("signed", 3, ["slack"]).collect()} == {"d2"}
+    assert made.search("", 3).count() == 0
+
+
+def test_vector_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("n", None)], "vec_id string, vector array<float>")
+    asked = spark.createDataFrame([("a", [1.0, 0.0])], "query_id string, vector array<float>")
+    assert [r.vec_id for r in retrieval.cosine_top_blocked(rows, asked, 3).orderBy("rank").collect()] == ["c", "b"]
+    other = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, vector array<float>")
+    assert [(r.query_id, r.vec_id) for r in retrieval.cosine_top_blocked(rows, other, 2).orderBy("rank").collect()] == [(7, "a"), (7, "c")]
+
+
+def test_path_documents_follow_hits(spark):
+    row = spark.createDataFrame([([("d1", "T", "S", 1.0)], ["d2", "d1"])], "h array<struct<doc_id:string,title:string,snippet:string,score:double>>, p array<string>")
+    got = row.select(agent.with_path_documents(F.col("h"), F.col("p"))).first()[0]
+    assert [(h.doc_id, h.score) for h in got] == [("d1", 1.0), ("d2", 0.0)]
+
+
+def test_recall_among_what_can_be_found(spark):
+    gold = spark.createDataFrame([(1, "basic", "a"), (1, "basic", "b"), (2, "basic", "x"), (3, None, "c")], "query_id long, question_type string, doc_id string")
+    ranks = {1: [(1, "z"), (3, "c")], 2: [(1, "a"), (2, "a"), (3, "c")]}
+    ranked = retrieval.ranked_at((1, 2), lambda k: spark.createDataFrame(ranks[k], "query_id long, doc_id string"))
+    got = {(r.question_type, r.k): r for r in retrieval.recall_summary(gold, ranked, spark.createDataFrame([("a",), ("c",), ("z",)], "doc_id string"), (1, 2)).collect()}
+    assert set(got) == {(t, k) for t in ("basic", "unknown", "OVERALL") for k in (1, 2)}
+    assert (got["basic", 2].n, got["basic", 2].reachable, got["basic", 2].ceiling, got["basic", 2].recall, got["basic", 2].recall_reachable) == (2, 1, 0.5, 0.5, 1.0)
+    assert got["basic", 1].recall == 0 and got["basic", 2].hit_rate == 0.333333 and got["OVERALL", 2].recall == 0.666667 and got["unknown", 1].recall == 1
+
+
+def test_prompts_are_asked_once(spark, tmp_path):
+    cache, log = f"file://{tmp_path}/cache", tmp_path / "asked"
+
+    def model(system, prompt, temperature):
+        with log.open("a") as out:
+            out.write(prompt + "\n")
+        return None if prompt == "hush" else f'Sure: {{"n": {len(prompt)}}} ok'
+
+    prompts = spark.createDataFrame([(1, "one"), (2, "three"), (3, "one"), (4, "hush"), (5, None)], "id long, prompt string")
+    for _ in range(2):
+        got = {r.id: r.n for r in completion.completed(prompts, model, "m", cache).select("id", completion.as_json(F.col("text"), "n int")["n"].alias("n")).collect()}
+        assert got == {1: 3, 2: 5, 3: 3, 4: None, 5: None}
+    assert sorted(log.read_text().split()) == ["hush", "hush", "one", "three"]
+    assert completion.completed(prompts, None, "m", cache).where("text IS NOT NULL").count() == 0
+
+
+def test_failures_are_asked_again():
+    waits, left = [], [3]
+
+    def model(system, prompt, temperature):
+        left[0] -= 1
+        if left[0] >= 0:
+            raise OSError("busy")
+        return "done"
+
+    assert completion.patiently(model, waits.append)(None, "p", 0.0) == "done" and waits == [2.0, 4.0, 8.0]
+    left[0] = 9
+    with pytest.raises(OSError):
+        completion.patiently(model, waits.append)(None, "p", 0.0)
