@@ -38,6 +38,17 @@ def local_session(**conf: str) -> SparkSession:
     return build_session(f"local[{cpus}]", 8, **({"spark.driver.memory": "8g"} | conf))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one, kept in the session, on a single machine only."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.shared.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.conf.set("tessella.shared.dir", at)
+    return at.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each SparkContext, for the operators that run Python there."""
     context = spark.sparkContext

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.session import ship
+from tessella.session import shared_folder, ship
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -54,9 +52,18 @@ def longest_streaks(events: DataFrame, bad: str = "error") -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over what there is, and give its table."""
+    """Run a stream over what there is, and give its table: the last batch in complete mode, else all batches.
+
+    Each batch is written to the shared folder under its number, so that one that is run again replaces itself.
+    """
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-stream-")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    at, numbers = f"{shared_folder(spark)}/{name}", set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/table/{number}")
+        numbers.add(number)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    wanted = sorted(numbers)[-1:] if mode == "complete" else sorted(numbers)
+    return spark.read.schema(stream.schema).parquet(*(f"{at}/table/{n}" for n in wanted)) if wanted else spark.createDataFrame([], stream.schema)
