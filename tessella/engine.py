@@ -17,11 +17,12 @@ from tessella.sources import documents as sources
 FACTS = ["MEMBER_OF", "WORKS_FOR", "HAS_ROLE", "OWNS", "REPORTS_TO", "ASSIGNED_TO"]
 
 
-def linked(mentions: DataFrame) -> DataFrame:
-    """mention_id, canonical_id of the mentions: people and bots by keys, bridges and the surname guard, other types by key."""
+def linked(mentions: DataFrame, scored: bool = False) -> DataFrame:
+    """mention_id, canonical_id of the mentions: people and bots by keys (or, scored, by learned probabilities), bridges
+    and the surname guard, other types by key."""
     people = mentions.where("entity_type IN ('person', 'bot')").groupBy("mention_id").agg(F.min("surface_form").alias("surface"))
     frame = linkage.person_frame(people, "mention_id", "surface")
-    sure = linkage.deterministic_pairs(frame).unionByName(linkage.bridges(frame).withColumn("probability", F.lit(linkage.MERGE)))
+    sure = (linkage.predicted_pairs(frame) if scored else linkage.deterministic_pairs(frame)).unionByName(linkage.bridges(frame).withColumn("probability", F.lit(linkage.MERGE)))
     pairs = sure.groupBy("id_l", "id_r").agg(F.max("probability").alias("probability")).where(F.col("probability") >= linkage.MERGE)
     grouped = linkage.guarded_clusters(pairs, frame).select(F.col("id").alias("mention_id"), T.mint_id("c", F.lit("person"), F.col("cluster")).alias("canonical_id"))
     keyed = linkage.by_key(mentions.where(F.col("entity_type").isin(*ontology.BY_KEY)).withColumnRenamed("surface_form", "surface"))
@@ -49,8 +50,8 @@ class Engine:
         self.texts = documents.select("doc_id", F.col("source_type").alias("source"), F.concat_ws("\n", "title", "body").alias("text"))
 
     @classmethod
-    def build(cls, spark: SparkSession, documents: DataFrame, ingested_at: Column, path: str | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None) -> Engine:
-        """From normalized documents. With a path every table is written there and read back, stage by stage."""
+    def build(cls, spark: SparkSession, documents: DataFrame, ingested_at: Column, path: str | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None, scored: bool = False) -> Engine:
+        """From normalized documents; scored: people are linked by learned probabilities. With a path every table is written there and read back, stage by stage."""
 
         def kept(df: DataFrame, name: str) -> DataFrame:
             if path is None:
@@ -61,7 +62,7 @@ class Engine:
         docs = kept(documents, "documents")
         found = kept(extraction.assertions(docs), "assertions")
         mentions = ontology.known(extraction.mentions(found), "entity_type")
-        clusters = kept(linked(mentions), "clusters")
+        clusters = kept(linked(mentions, scored), "clusters")
         entities = kept(entities_of(mentions, clusters), "entities")
         lifted = temporal.lift(ontology.known(extraction.relations(found), "rel"), clusters)
         edges = temporal.resolve_conflicts(temporal.edges(lifted, ingested_at), F.broadcast(ontology.priorities(spark)), list(ontology.ONE_FOR_EACH_SOURCE), list(ontology.ONE_FOR_EACH_TARGET))

@@ -13,6 +13,10 @@ from tessella.session import ship
 
 # Probabilities from which pairs are merged, or kept as a middle band.
 MERGE, MIDDLE = 0.92, 0.55
+# Fixed value: the share of matching pairs that have one name or one address.
+RULE_RECALL = 0.8
+#: Names whose pairs show how alike unequal names are by chance: 101,025 pairs.
+SAMPLED = 450
 #: Levels of name similarity after equality.
 NAME_LEVELS = (0.92, 0.88, 0.70)
 
@@ -79,27 +83,84 @@ def agreement_patterns(gammas: DataFrame) -> DataFrame:
     return gammas.groupBy("gamma_name", "gamma_email", "gamma_handle").agg(F.count("*").alias("pairs"))
 
 
-def fellegi_sunter(patterns: DataFrame, rounds: int = 30, prior: float = 0.1) -> DataFrame:
-    """patterns with the probability of a match, by expectation maximisation over the histogram (54 rows at most)."""
-    p = patterns.toPandas()
-    if p.empty:
-        return patterns.withColumn("probability", F.lit(0.0))
-    gammas, n = p[["gamma_name", "gamma_email", "gamma_handle"]].to_numpy(), p["pairs"].to_numpy(float)
-    levels = (5, 2, 2)
-    u = [np.array([(n[gammas[:, j] == k].sum() + 1) for k in range(levels[j])]) for j in range(3)]
-    u = [x / x.sum() for x in u]
+def coincidence(people: DataFrame, *keys: str) -> tuple[float, float]:
+    """How many pairs of people have all keys, and how many of them agree in all: from counts, without making a pair."""
+    known = people.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    each = known.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
+    row = each.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same")).first()
+    n = row["n"] or 0.0
+    return n * (n - 1) / 2, row["same"] or 0.0
+
+
+def expected_matches(people: DataFrame, recall: float = RULE_RECALL) -> tuple[float, float]:
+    """All pairs of people, and how many of them should match: those with one name or one address, by the share that these rules find."""
+    n = people.count()
+    same = coincidence(people, "name_norm")[1] + coincidence(people, "email_local")[1] - coincidence(people, "name_norm", "email_local")[1]
+    return n * (n - 1) / 2, same / recall
+
+
+def chance(people: DataFrame, sampled: int = SAMPLED) -> list[np.ndarray]:
+    """How often pairs agree by chance, for each level of name, address and handle.
+
+    Equality is counted over all people; the levels of unequal names are those of the pairs among `sampled` names, the
+    first by their hash.
+    """
+    ship(people.sparkSession)
+    names = people.where("name_norm IS NOT NULL").groupBy("name_norm").agg(F.count("*").alias("n")).orderBy(F.xxhash64("name_norm"), "name_norm").limit(sampled)
+    a, b = (names.select(F.col("name_norm").alias(f"name_{s}"), F.col("n").alias(f"n_{s}")) for s in "lr")
+    met = a.join(F.broadcast(b), F.col("name_l") < F.col("name_r")).withColumn("similarity", jaro_winkler("name_l", "name_r"))
+    low = np.full(4, 0.5)
+    for row in met.groupBy(name_level(F.col("name_l"), F.col("name_r"), F.col("similarity")).alias("level")).agg(F.sum(F.col("n_l") * F.col("n_r")).alias("n")).collect():
+        low[row["level"]] += row["n"]
+    name, mail, handle = ((same + 0.5) / (every + 1) for every, same in (coincidence(people, k) for k in ("name_norm", "email_local", "handle_stem")))
+    return [np.append(low / low.sum() * (1 - name), name), np.array([1 - mail, mail]), np.array([1 - handle, handle])]
+
+
+def learned(gammas: np.ndarray, n: np.ndarray, u: list[np.ndarray], share: float, left_out: int | None = None, rounds: int = 30) -> list[np.ndarray | None]:
+    """How often matching pairs have each level, by expectation maximisation over a histogram of patterns; None for the comparison left out."""
     m = [np.linspace(1, 4 * len(x), len(x)) / np.linspace(1, 4 * len(x), len(x)).sum() for x in u]
     for _ in range(rounds):
-        odds = np.full(len(p), prior / (1 - prior))
+        odds = np.full(len(n), share / (1 - share))
         for j in range(3):
             known = gammas[:, j] >= 0
-            odds[known] *= (m[j] / u[j])[gammas[known, j]]
+            if j != left_out:
+                odds[known] *= (m[j] / u[j])[gammas[known, j]]
         match = odds / (1 + odds)
-        prior = float(np.clip((match * n).sum() / n.sum(), 1e-6, 1 - 1e-6))
+        share = float(np.clip((match * n).sum() / n.sum(), 1e-6, 1 - 1e-6))
         for j in range(3):
-            w = np.array([(match * n)[gammas[:, j] == k].sum() + 1e-3 for k in range(levels[j])])
+            w = np.array([(match * n)[gammas[:, j] == k].sum() + 1e-3 for k in range(len(u[j]))])
             m[j] = w / w.sum()
-    return patterns.sparkSession.createDataFrame(p.assign(probability=match))
+    return [None if j == left_out else m[j] for j in range(3)]
+
+
+def predicted_pairs(people: DataFrame, least: float = MIDDLE) -> DataFrame:
+    """id_l, id_r, probability of the pairs that share a surname, an address or a handle, from `least` on.
+
+    The prior is that of expected_matches, agreement by chance that of chance; agreement of matches is learned twice,
+    from pairs of one surname and from pairs of one handle (without the handle), and the mean taken. An address counts
+    by how rare it is. What reaches the driver are histograms of 54 patterns. Where nothing can be learned or no pair is
+    likely, the pairs are those of deterministic_pairs.
+    """
+    every, expected = expected_matches(people)
+    u, found = chance(people), []
+    for key, left_out in (("surname", None), ("handle_stem", 2)):
+        p = agreement_patterns(compared(blocked_pairs(people, [key]), people)).toPandas()
+        if not p.empty:
+            n = p["pairs"].to_numpy(float)
+            found.append(learned(p[["gamma_name", "gamma_email", "gamma_handle"]].to_numpy(), n, u, float(np.clip(expected / n.sum(), 0.01, 0.99)), left_out))
+    m = [[e[j] for e in found if e[j] is not None] for j in range(3)]
+    if not all(m):
+        return deterministic_pairs(people)
+    prior = float(np.clip(expected / every, 1e-9, 0.5))
+    weight = [np.append(np.mean(x, axis=0) / y, 1.0) for x, y in zip(m, u)]  # the last is that of an unknown, level -1
+    rows = [(a, b, c, float(prior / (1 - prior) * weight[0][a] * weight[1][b] * weight[2][c])) for a in range(-1, 5) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    odds = people.sparkSession.createDataFrame(rows, "gamma_name int, gamma_email int, gamma_handle int, odds double")
+    known = people.where("email_local IS NOT NULL").agg(F.count("*").alias("known"))
+    rare = people.where("email_local IS NOT NULL").groupBy("email_local").agg(F.count("*").alias("n")).crossJoin(F.broadcast(known)).select(F.col("email_local").alias("email_local_l"), (F.lit(float(u[1][1])) * F.col("known") / F.col("n")).alias("rare"))
+    pairs = compared(blocked_pairs(people, ["surname", "email_local", "handle_stem"]), people).join(F.broadcast(odds), ["gamma_name", "gamma_email", "gamma_handle"]).join(rare, "email_local_l", "left")
+    scored = pairs.withColumn("odds", F.col("odds") * F.when(F.col("gamma_email") == 1, F.col("rare")).otherwise(1.0))
+    likely = kept(scored.select("id_l", "id_r", (F.col("odds") / (1 + F.col("odds"))).alias("probability")).where(F.col("probability") >= least))
+    return deterministic_pairs(people) if likely.isEmpty() else likely
 
 
 def band(probability: Column) -> Column:

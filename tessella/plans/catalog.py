@@ -153,9 +153,7 @@ def gamma_histogram(spark, d):
 @query()
 def fs_scores(spark, d):
     people = _people(spark, d)
-    gammas = linkage.compared(linkage.blocked_pairs(people, ["surname", "handle_stem"]), people)
-    keys = ["gamma_name", "gamma_email", "gamma_handle"]
-    scored = gammas.join(F.broadcast(linkage.fellegi_sunter(linkage.agreement_patterns(gammas))), keys)
+    scored = linkage.predicted_pairs(people, 0.0)
     return scored.select("id_l", "id_r", F.round("probability", 6).alias("probability"), linkage.band(F.col("probability")).alias("band"))
 
 

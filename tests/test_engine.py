@@ -110,6 +110,12 @@ def test_search_with_vectors(spark, engine, tmp_path):
     assert made.search("", 3).count() == 0
 
 
+def test_people_linked_by_learned_probabilities(spark, tmp_path):
+    made = Engine.build(spark, D.normalize(files(spark)), NOW(), f"file://{tmp_path}/corpus", scored=True)
+    made.verify()
+    assert [r.entity_type for r in made.find_entity("ann lee").collect()] == ["person"]
+
+
 def test_vector_ids_of_any_type(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0]), ("n", None)], "vec_id string, vector array<float>")
     asked = spark.createDataFrame([("a", [1.0, 0.0])], "query_id string, vector array<float>")

@@ -112,6 +112,43 @@ def test_bridges_and_guard(spark):
     assert linkage.surname_violations(linkage.guarded_clusters(pairs, people), people).count() == 0
 
 
+PEOPLE = "id int, name_norm string, surname string, email_local string, handle_stem string"
+
+
+def test_chance_and_prior_are_counts(spark):
+    rows = [(1, "ann lee", "lee", "ann", None), (2, "ann lee", "lee", "ann", None), (3, "ann lee", "lee", None, "a"), (4, "bo ray", "ray", "ann", "a"), (5, None, None, None, None)]
+    people = spark.createDataFrame(rows, PEOPLE)
+    met = [(a, b) for i, a in enumerate(rows) for b in rows[i + 1 :]]
+    same = sum(a[1] == b[1] is not None or a[3] == b[3] is not None for a, b in met)
+    assert linkage.expected_matches(people) == (len(met), same / 0.8) and linkage.coincidence(people, "handle_stem") == (1, 1)
+    name, mail, handle = linkage.chance(people)
+    assert abs(name[4] - 3.5 / 7) < 1e-12 and all(abs(x.sum() - 1) < 1e-12 for x in (name, mail, handle)) and abs(mail[1] - 3.5 / 4) < 1e-12
+
+
+def test_probabilities_of_pairs(spark):
+    first, last = ["ann", "bo", "cy", "dana", "eli", "fay", "gus", "hana", "ivo", "jo"], ["lee", "ray", "fox", "moreno"]
+    rows, n = [], 0
+    for i, (f, s) in enumerate((f, s) for f in first for s in last):
+        for k in range(3):
+            n += 1
+            mail = f"{f}.{s}" if k < 2 else "info" if i % 2 else None
+            rows.append((n, f"{f} {s}", s, mail, f"{f}{s[0]}" if k else None))
+    people = spark.createDataFrame(rows, PEOPLE)
+    got = {(r.id_l, r.id_r): r.probability for r in linkage.predicted_pairs(people, 0.0).collect()}
+    own = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1]}
+    assert own <= set(got) and min(got[x] for x in own) > max(p for x, p in got.items() if x not in own)
+    assert all(0 <= p <= 1 for p in got.values())
+    # of one person: a handle that agrees counts for the pair, an address that differs against it
+    assert got[2, 3] > got[1, 3] and got[5, 6] < got[2, 3]
+    assert {(r.id_l, r.id_r) for r in linkage.predicted_pairs(people).collect()} == own
+
+
+def test_without_evidence_rules_decide(spark):
+    people = spark.createDataFrame([(1, "ann lee", None, "ann", None), (2, "bo ray", None, "ann", None)], PEOPLE)
+    assert [tuple(r) for r in linkage.predicted_pairs(people).collect()] == [(1, 2, 1.0)]
+    assert linkage.predicted_pairs(people.where("false")).count() == 0
+
+
 def test_context_decides_between_candidates(spark):
     names = spark.createDataFrame([("g", "Ann"), ("g", "Bob"), ("g", "Cy")], "group string, name string")
     candidates = spark.createDataFrame([("Ann", 1), ("Ann", 2), ("Bob", 3), ("Cy", 4), ("Cy", 5)], "name string, id int")
