@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,12 +34,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own, kept in the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessella.shared.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("tessella.shared.dir", at)
-    return at.rstrip("/")
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one on a single machine (tests), an error on a cluster."""
+    return session.shared_folder(spark)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
