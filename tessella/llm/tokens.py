@@ -213,12 +213,28 @@ def _write(folder: str, path: str, spaced: bool, end: int, kind: str):
     return run, "shard int, path string, n_docs long, n_tokens long"
 
 
-def _mapped(files, path: str, kind: str) -> np.ndarray:
-    """A file's integers: mapped into memory where it is local, read in one go elsewhere."""
-    if isinstance(files, pyarrow.fs.LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with files.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+class _Stored:
+    """Ranges of a file's integers: mapped into memory where the file is local, read range by range elsewhere."""
+
+    def __init__(self, files, path: str, kind: str):
+        self.kind = np.dtype(kind)
+        self.map = np.memmap(path, self.kind, "r") if isinstance(files, pyarrow.fs.LocalFileSystem) else None
+        self.file = None if self.map is not None else files.open_input_file(path)
+
+    def part(self, start: int, end: int) -> np.ndarray:
+        if self.map is not None:
+            return np.asarray(self.map[start:end])
+        return np.frombuffer(self.file.read_at((end - start) * self.kind.itemsize, start * self.kind.itemsize), self.kind)
+
+
+def _documents(stored: _Stored, offsets: np.ndarray, together: int = TOGETHER):
+    """The ids between each two offsets, read in ranges of at most `together` ids; a longer document is a range by itself."""
+    i, last = 0, len(offsets) - 1
+    while i < last:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + together, "right")) - 1)
+        held = stored.part(int(offsets[i]), int(offsets[j]))
+        yield from (held[a:b] for a, b in zip(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i]))
+        i = j
 
 
 def write_token_files(docs: DataFrame, path: str, spaced: bool, end: int) -> DataFrame:
@@ -248,10 +264,12 @@ def read_token_files(spark: SparkSession, shards: DataFrame) -> DataFrame:
         files, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, offsets, docs = (_mapped(files, f"{row['path']}.{x}", k) for x, k in (("ids", row["kind"]), ("off", "<i8"), ("doc", "<i8")))
-                for at in range(0, len(docs), 10_000):
-                    o, d = np.asarray(offsets[at : at + 10_001]), np.asarray(docs[at : at + 10_000])
-                    yield pa.record_batch([pa.array(d, mask=d == NO_ID), pa.array(row["base"] + o[:-1]), pa.array(np.diff(o)), pa.array([crc(ids[a:b]) for a, b in zip(o, o[1:])], pa.int64())], schema=schema)
+                ids, offsets, docs = (_Stored(files, f"{row['path']}.{x}", k) for x, k in (("ids", row["kind"]), ("off", "<i8"), ("doc", "<i8")))
+                for at in range(0, row["n_docs"], 10_000):
+                    stop = min(row["n_docs"], at + 10_000)
+                    o, d = offsets.part(at, stop + 1), docs.part(at, stop)
+                    sums = [crc(own) for own in _documents(ids, o)]
+                    yield pa.record_batch([pa.array(d, mask=d == NO_ID), pa.array(row["base"] + o[:-1]), pa.array(np.diff(o)), pa.array(sums, pa.int64())], schema=schema)
 
     return shards.repartition(max(1, shards.count())).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

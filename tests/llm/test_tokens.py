@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.fs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,18 @@ def test_token_files_are_in_order(docs, texts):
         start += len(ids)
 
 
+def test_ranges_are_read_off_any_file_system(tmp_path):
+    path, held = str(tmp_path / "x.ids"), np.arange(1000, dtype="<u2")
+    held.tofile(path)
+    local = pyarrow.fs.LocalFileSystem()
+    for files, name in ((local, path), (pyarrow.fs.SubTreeFileSystem(str(tmp_path), local), "x.ids")):
+        stored = tokens._Stored(files, name, "<u2")
+        assert stored.part(990, 1000).tolist() == list(range(990, 1000)) and stored.part(5, 5).tolist() == []
+        offsets = np.array([0, 3, 4, 500, 501, 502, 1000])
+        for together in (1, 4, 50, 5000):
+            assert [d.tolist() for d in tokens._documents(stored, offsets, together)] == [list(range(a, b)) for a, b in zip(offsets, offsets[1:])]
+
+
 def test_packing_uses_every_piece_once(docs, texts):
     plain, capacity = Tokenizer.from_file(BYTES), 128
     rows = packing.pack(docs, BYTES, capacity=capacity, with_ids=True).collect()
@@ -72,6 +85,38 @@ def test_plan_is_whole_and_fits(lengths):
     assert n <= 11 / 9 * -(-sum(lengths) // 64) + 0.67 * len([x for x in lengths if x > 21]) + 2
 
 
+def _least(sizes: list[int], capacity: int) -> int:
+    """The least number of sequences, by trying every place for every piece."""
+    best = len(sizes)
+
+    def put(i: int, rooms: tuple[int, ...]) -> None:
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(r for r in rooms if r >= sizes[i]):
+            at = rooms.index(room)
+            put(i + 1, (*rooms[:at], room - sizes[i], *rooms[at + 1 :]))
+        put(i + 1, (*rooms, capacity - sizes[i]))
+
+    sizes = sorted(sizes, reverse=True)
+    put(0, ())
+    return best
+
+
+def test_small_cases_take_the_least_number_of_sequences():
+    rng, over = np.random.default_rng(5), 0
+    for _ in range(300):
+        sizes = [int(x) for x in rng.integers(1, 21, rng.integers(1, 10))]
+        got = packing.plan_sequences(dict(Counter(sizes)), 20)[1]
+        least = _least(sizes, 20)
+        assert least <= got <= least + 1
+        over += got > least
+    assert over <= 3
+
+
 def test_linear_grouping_beats_best_fit_where_large_lengths_must_match():
     lengths = {n: 40 for n in range(600, 1100)}
     assert packing._plan(lengths, 2048, 1 / 8, 48)[1] < packing._plan(lengths, 2048, 1 / 2, 48)[1]
