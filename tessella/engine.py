@@ -36,18 +36,23 @@ def entities_of(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
     return made.withColumn("handles", F.filter("aliases", lambda a: a.rlike(r"^[a-z][\w.\-]{1,30}$")))
 
 
+def texts_of(documents: DataFrame) -> DataFrame:
+    """doc_id, source, text (title and body): what is searched."""
+    return documents.select("doc_id", F.col("source_type").alias("source"), F.concat_ws("\n", "title", "body").alias("text"))
+
+
 class Engine:
     """documents, entities, aliases and edges of a corpus, and the questions that can be put to them.
 
     With an encoder of lists of texts, searches fuse keyword hits with those of vectors; without one they have keywords only.
     """
 
-    def __init__(self, spark: SparkSession, documents: DataFrame, entities: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None):
+    def __init__(self, spark: SparkSession, documents: DataFrame, entities: DataFrame, edges: DataFrame, vectors: DataFrame | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None, index: retrieval.Index | None = None):
         self.spark, self.documents, self.edges = spark, documents, edges
-        self.vectors, self.encoder = vectors, encoder
+        self.vectors, self.encoder, self.index = vectors, encoder, index
         self.entities = entities
         self.nodes, self.aliases = graph.nodes(entities), graph.aliases(entities)
-        self.texts = documents.select("doc_id", F.col("source_type").alias("source"), F.concat_ws("\n", "title", "body").alias("text"))
+        self.texts = texts_of(documents)
 
     @classmethod
     def build(cls, spark: SparkSession, documents: DataFrame, ingested_at: Column, path: str | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None, scored: bool = False) -> Engine:
@@ -67,7 +72,15 @@ class Engine:
         lifted = temporal.lift(ontology.known(extraction.relations(found), "rel"), clusters)
         edges = temporal.resolve_conflicts(temporal.edges(lifted, ingested_at), F.broadcast(ontology.priorities(spark)), list(ontology.ONE_FOR_EACH_SOURCE), list(ontology.ONE_FOR_EACH_TARGET))
         vectors = kept(retrieval.embed(docs, encoder), "vectors") if encoder else None
-        return cls(spark, docs, entities, kept(edges, "edges"), vectors, encoder)
+        index = retrieval.write_index(texts_of(docs), f"{path}/index") if path is not None else None
+        return cls(spark, docs, entities, kept(edges, "edges"), vectors, encoder, index)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, encoder: Callable[[list[str]], np.ndarray] | None = None) -> Engine:
+        """From the tables that build has written to path; with the encoder that it was built with, if any."""
+        docs, entities, edges = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "entities", "edges"))
+        vectors = spark.read.parquet(f"{path}/vectors") if encoder else None
+        return cls(spark, docs, entities, edges, vectors, encoder, retrieval.read_index(spark, f"{path}/index"))
 
     @classmethod
     def from_files(cls, spark: SparkSession, roots: list[str], ingested_at: Column, path: str | None = None, encoder: Callable[[list[str]], np.ndarray] | None = None) -> Engine:
@@ -76,17 +89,20 @@ class Engine:
     def _node(self, *ids: str) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "node string")
 
+    def _keywords(self, asked: DataFrame, k: int, kinds: list[str] | None) -> DataFrame:
+        return retrieval.bm25_stored(self.index, asked, k, kinds) if self.index else retrieval.bm25(self.texts, asked, k, kinds)
+
     def _hits(self, asked: DataFrame, k: int, kinds: list[str] | None = None) -> DataFrame:
         """query_id, doc_id, score, rank for asked (query_id, text): by keywords, or fused with the nearest vectors."""
         if self.encoder is None:
-            return retrieval.bm25(self.texts, asked, k, kinds)
+            return self._keywords(asked, k, kinds)
         pool, held = retrieval.pool(k), self.vectors.withColumnRenamed("doc_id", "vec_id")
         if kinds is not None:
             held = held.join(self.texts.where(F.col("source").isin(kinds)).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
         shaped = asked.select(F.col("query_id").alias("doc_id"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"))
         meant = retrieval.embed(shaped, self.encoder).withColumnRenamed("doc_id", "query_id")
         near = retrieval.cosine_top_blocked(held, meant, pool).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
-        return retrieval.fuse(retrieval.bm25(self.texts, asked, pool, kinds), near, k=k)
+        return retrieval.fuse(self._keywords(asked, pool, kinds), near, k=k)
 
     def search(self, question: str, k: int = 12, kinds: list[str] | None = None, width: int = 8000) -> DataFrame:
         """The best documents with title, snippet, score and rank."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -16,6 +17,8 @@ from tessella.functions.udfs import porter
 from tessella.session import ship
 
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
+#: Terms that are handed to the scan of an index as a filter; more are joined with it.
+PUSHED_TERMS = 256
 
 
 def postings(docs: DataFrame, stems: bool = False) -> DataFrame:
@@ -48,10 +51,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, sources: list[str] | None
     Statistics are over all docs; `sources` restricts what is returned, before ranking. Only postings of the queries'
     own words are shuffled; a document's length is counted where it is read.
     """
-    asked = phrases(queries)
     sized = docs.select("doc_id", T.words(F.col("text")).alias("terms"))
     facts = sized.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
     flat = sized.select("doc_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+    return _ranked(flat, facts, docs, queries, k, sources)
+
+
+def _ranked(flat: DataFrame, facts: DataFrame, docs: DataFrame, queries: DataFrame, k: int, sources: list[str] | None) -> DataFrame:
+    """bm25 over flat (doc_id, length, position, term), facts (n, mean: one row) and docs (doc_id, source)."""
+    asked = phrases(queries)
     hits = flat.join(asked.select("phrase", "size", "offset", "term").distinct(), "term")
     whole = hits.groupBy("phrase", "size", "doc_id", "length", (F.col("position") - F.col("offset")).alias("at")).agg(F.count("*").alias("c")).where("c = size")
     tf = whole.groupBy("phrase", "doc_id", "length").agg(F.count("*").alias("tf"))
@@ -65,6 +73,40 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, sources: list[str] | None
     return top(total, "query_id", "doc_id", k)
 
 
+class Index(NamedTuple):
+    """An inverted index: postings (term, doc_id, length, positions), documents (doc_id, source) and facts (n, mean)."""
+
+    postings: DataFrame
+    documents: DataFrame
+    facts: DataFrame
+
+
+def write_index(docs: DataFrame, path: str) -> Index:
+    """The index of docs (doc_id, source, text), written below path and read back.
+
+    Postings lie in order of term and document, dealt by ranges of both, so that a term that most documents have is
+    spread over files and a search reads the row groups of its own terms only.
+    """
+    listed = docs.select("doc_id", T.words(F.col("text")).alias("terms"))
+    flat = listed.select("doc_id", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+    held = flat.groupBy("term", "doc_id", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    held.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.select("doc_id", "source").write.mode("overwrite").parquet(f"{path}/documents")
+    listed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean")).write.mode("overwrite").parquet(f"{path}/facts")
+    return read_index(docs.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in Index._fields))
+
+
+def bm25_stored(index: Index, queries: DataFrame, k: int, sources: list[str] | None = None) -> DataFrame:
+    """bm25 from a written index: no text is read. The terms of a few queries go to the scan as a filter; those of more are joined."""
+    terms = [r["term"] for r in phrases(queries).select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    held = index.postings.where(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else index.postings
+    return _ranked(held.select("doc_id", "length", "term", F.explode("positions").alias("position")), index.facts, index.documents, queries, k, sources)
+
+
 def top(scored: DataFrame, query: str | list[str], key: str, k: int) -> DataFrame:
     """The k highest scores of each query (or of each of several columns' values), ties to the smaller key."""
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)

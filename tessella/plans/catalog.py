@@ -12,7 +12,7 @@ from tessella.functions import text as T
 from tessella.functions.udfs import jaro_winkler
 from tessella.operators import agent, evaluation, extraction, graph, linkage, retrieval, service, temporal
 from tessella.sources import documents as sources
-from tessella.session import ship
+from tessella.session import shared_folder, ship
 from tessella.streaming import events as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,6 +278,22 @@ def bm25_source_filtered(spark, d):
     return retrieval.bm25(_t(spark, d, "documents"), _asked(spark, d), 5, ["src0", "src3"]).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _index(spark, d) -> retrieval.Index:
+    return retrieval.write_index(_t(spark, d, "documents").select("doc_id", "source", "text"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+@query(f"SELECT term, doc_id, len({_TOKENS}) AS length, count(*) AS tf FROM (SELECT doc_id, text, unnest({_TOKENS}) AS term FROM documents) GROUP BY term, doc_id, text")
+def stored_index(spark, d):
+    """The postings of an index, written and read back."""
+    return _index(spark, d).postings.select("term", "doc_id", F.col("length").cast("long").alias("length"), F.size("positions").cast("long").alias("tf"))
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM al WHERE doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src0', 'src1', 'src2')) QUALIFY rank <= 10")
+def stored_index_topk(spark, d):
+    """Keyword search that reads a written index and no text."""
+    return retrieval.bm25_stored(_index(spark, d), _asked(spark, d), 10, ["src0", "src1", "src2"]).withColumn("rank", F.col("rank").cast("long"))
+
+
 _COSINE = """nv AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 nn AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM nv),
 cs AS (SELECT q.vec_id AS query_id, d.vec_id, d.label, round(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) / (q.n * d.n), 6) AS score FROM nn q JOIN nn d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)"""

@@ -101,6 +101,27 @@ def test_teams_from_nested_records(spark, tmp_path):
     assert tuple(P.team_scores(products, employees).first())[1:] == (1.0, 1.0, 1.0)
 
 
+def test_a_built_corpus_is_opened_and_searched_by_its_index(spark, tmp_path):
+    path = f"file://{tmp_path}/corpus"
+    made = Engine.build(spark, D.normalize(files(spark)), NOW(), path)
+    again, plain = Engine.open(spark, path), Engine(spark, made.documents, made.entities, made.edges)
+    for question in ("Who owns the release of Runtime?", "the of", "", "nothingofthekind"):
+        for kinds in (None, ["jira"], []):
+            want = [tuple(r) for r in plain.search(question, kinds=kinds).collect()]
+            assert [tuple(r) for r in again.search(question, kinds=kinds).collect()] == want
+    assert again.stats().count() == made.stats().count()
+
+
+def test_an_index_is_searched_by_filter_and_by_join(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", "new york new york"), (2, "b", "york"), (3, "a", ""), (4, None, None), (5, "b", "new")], "doc_id long, source string, text string")
+    asked = spark.createDataFrame([(1, "new york"), (2, "york-new"), (3, "")], "query_id long, text string")
+    index = retrieval.write_index(docs, f"file://{tmp_path}/index")
+    want = sorted(map(tuple, retrieval.bm25(docs, asked, 5).collect()))
+    assert want and sorted(map(tuple, retrieval.bm25_stored(index, asked, 5).collect())) == want
+    monkeypatch.setattr(retrieval, "PUSHED_TERMS", 0)
+    assert sorted(map(tuple, retrieval.bm25_stored(index, asked, 5).collect())) == want
+
+
 def test_search_with_vectors(spark, engine, tmp_path):
     made = Engine.build(spark, D.normalize(files(spark)), NOW(), f"file://{tmp_path}/corpus", retrieval.hashed)
     assert made.vectors.count() == 6
