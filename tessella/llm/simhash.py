@@ -74,7 +74,8 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     The 128 bits are cut into radius + 2 blocks, half of them in each half. Two such fingerprints have at least two
     blocks alike, so for each pair of blocks there is a table keyed by both, in which fingerprints meet and are
     compared. A pair is given by the first table that it meets in. Equal fingerprints are one row; those with a null
-    half take no part. No rows, no pairs.
+    half take no part. No rows, no pairs. The join is hinted: Spark takes the exploded tables to be as small as prints and
+    would broadcast them.
     """
     blocks = radius + 2
     if blocks > 20:
@@ -102,7 +103,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     rest = alike.bitwiseAND(alike - 1)
     first = (alike - rest.bitwiseAND(rest - 1)) == F.shiftrightunsigned("a_key", 44)
     apart = (F.col("ax") < F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") < F.col("by")))
-    pairs = a.join(b, (F.col("a_key") == F.col("b_key")) & apart & (distance <= radius) & first)
+    pairs = a.join(b.hint("merge"), (F.col("a_key") == F.col("b_key")) & apart & (distance <= radius) & first)
     return pairs.select("ax", "ay", "bx", "by", distance.cast("int").alias("distance"))
 
 

@@ -160,6 +160,20 @@ def test_all_fingerprints_within_the_radius(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_block_tables_are_not_broadcast(spark, tmp_path):
+    """Prints of 16 KB in a file; their 45 tables have 1 MB, more than may be broadcast here."""
+    rng = np.random.default_rng(6)
+    halves = rng.integers(-(2**63), 2**63 - 1, (1_000, 2)).tolist()
+    halves += [[x ^ 5, y] for x, y in halves[:20]]
+    spark.createDataFrame(halves, "x long, y long").write.parquet(f"{tmp_path}/prints")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "256k")
+    try:
+        got = simhash.near_fingerprints(spark.read.parquet(f"{tmp_path}/prints"), simhash.RADIUS).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == 20 and all(r.distance == 2 for r in got)
+
+
 def test_simhash_edges(empty, odd):
     assert simhash.fingerprint_edits(empty).count() == 0
     got = simhash.fingerprint_edits(odd).collect()
