@@ -719,9 +719,10 @@ def extract_mentions(spark, d):
     return found.groupBy("entity_type").agg(F.count("*").alias("mentions"), F.count_distinct("mention_id").alias("distinct_mentions"))
 
 
-def _normalized(spark, d, kind: str, slug, content, key: str, table: str) -> DataFrame:
-    """Rows of a table written as files of a source, and normalized."""
-    files = _t(spark, d, table).select(F.lit("p").alias("path"), F.lit(kind).alias("source_type"), F.col(key).cast("string").alias("doc_id"), slug.alias("slug"), content.alias("content"))
+def _normalized(spark, d, kind: str, slug, content, key: str, table: str, tasks: int | None = None) -> DataFrame:
+    """Rows of a table written as files of a source, and normalized; in so many tasks, if given."""
+    rows = _t(spark, d, table)
+    files = (rows.repartition(tasks) if tasks else rows).select(F.lit("p").alias("path"), F.lit(kind).alias("source_type"), F.col(key).cast("string").alias("doc_id"), slug.alias("slug"), content.alias("content"))
     return sources.normalize(files)
 
 
@@ -748,10 +749,10 @@ def normalize_chat(spark, d):
     return out.select("doc_id", F.col("raw_metadata")["channel"].alias("channel"), F.array_join("author_refs", "|").alias("author_refs"), F.col("raw_metadata")["teams"].alias("teams"), F.array_join("mention_refs", "|").alias("mention_refs"))
 
 
-def _issue_rows(spark, d) -> DataFrame:
+def _issue_rows(spark, d, tasks: int | None = None) -> DataFrame:
     p = F.col("p_partkey")
     content = _said("Broken ", F.col("p_name"), "\nOwner: Mei Chen\nReporter (Sam Lee): it fails since 2024-03-0", (1 + p % 9).cast("string"), "T10:30\nTaken by Ana Diaz (SRE). See SUP-", F.col("p_size"), " and pr #", p, " of ff_20240101_ab12.")
-    return _normalized(spark, d, "jira", _said("ENG-", p, "-broken"), content, "p_partkey", "part")
+    return _normalized(spark, d, "jira", _said("ENG-", p, "-broken"), content, "p_partkey", "part", tasks)
 
 
 @query("""SELECT p_partkey::VARCHAR AS doc_id, make_timestamp(2024, 3, (1 + p_partkey % 9)::BIGINT, 10, 30, 0) AS stated, 'Reporter' AS author_refs, 'Reporter|Ana Diaz|Sam Lee|SRE' AS mention_refs,
@@ -765,10 +766,15 @@ def normalize_issue(spark, d):
 SELECT doc_id, src, rel, dst FROM (SELECT d AS doc_id, unnest([{'src': e, 'rel': 'PART_OF', 'dst': 'ENG'}, {'src': e, 'rel': 'RELATES_TO', 'dst': s}, {'src': t, 'rel': 'REFERENCES', 'dst': e}, {'src': e, 'rel': 'PART_OF', 'dst': 'ENG'}, {'src': t, 'rel': 'REFERENCES', 'dst': s}, {'src': s, 'rel': 'PART_OF', 'dst': 'SUP'},
 {'src': t, 'rel': 'REFERENCES', 'dst': pr}, {'src': t, 'rel': 'REFERENCES', 'dst': 'ff_20240101_ab12'}, {'src': 'Mei Chen', 'rel': 'OWNS', 'dst': e}, {'src': 'Ana Diaz', 'rel': 'HAS_ROLE', 'dst': 'SRE'}], recursive := true) FROM x)""")
 def extract_issue_facts(spark, d):
-    """The relations that the rules for tickets find."""
-    found = extraction.relations(extraction.assertions(_issue_rows(spark, d)))
-    named = extraction.mentions(extraction.assertions(_issue_rows(spark, d))).select("mention_id", "surface_form").distinct()
-    src, dst = (named.select(F.col("mention_id").alias(f"{s}_mention_id"), F.col("surface_form").alias(s)) for s in ("src", "dst"))
+    """The relations that the rules for tickets find.
+
+    A part becomes some 20 mentions, so a small file is dealt to all tasks first. Spark estimates mentions by the size of
+    that file and would broadcast them; the joins are hinted.
+    """
+    said = extraction.assertions(_issue_rows(spark, d, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = extraction.relations(said)
+    named = extraction.mentions(said).select("mention_id", "surface_form").distinct()
+    src, dst = (named.select(F.col("mention_id").alias(f"{s}_mention_id"), F.col("surface_form").alias(s)).hint("merge") for s in ("src", "dst"))
     return found.join(src, "src_mention_id").join(dst, "dst_mention_id").select("doc_id", "src", "rel", "dst")
 
 

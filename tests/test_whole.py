@@ -119,3 +119,18 @@ def test_graph_of_all_customers(spark, tmp_path):
     on_path = {e for s in seeds for ns, es in walks(edges, s, 2) if ns[-1] in seeds for e in es}
     want = {(a, b) for a, b in edges if (b[0] == "r" and {a, b} & seeds) or f"{a}>{b}" in on_path}
     assert {(r.src, r.dst) for r in run(spark, "subgraph", tmp_path)} == want
+
+
+def test_mentions_of_a_small_file_are_not_broadcast(spark, tmp_path):
+    """8,000 parts in a small file; the names of their mentions have more than may be broadcast here."""
+    parts = duckdb.sql(f"select i * 200 + p_partkey as p_partkey, p_name, p_size from '{SF}/part.parquet', range(40) t(i)")
+    duckdb.sql(f"copy parts to '{tmp_path}/part.parquet'")
+    duckdb.sql(f"create or replace temp view part as select * from '{tmp_path}/part.parquet'")
+    want = duckdb.sql(f"select doc_id, src, rel, dst from ({entry.oracle_sql()['extract_issue_facts']})").fetchall()
+    duckdb.sql("drop view part")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        got = run(spark, "extract_issue_facts", tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert Counter(map(tuple, got)) == Counter(want) and len(got) == 80_000
