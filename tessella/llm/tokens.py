@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import threading
@@ -49,6 +50,47 @@ class _Places(dict):
         return place
 
 
+#: Stands between parts that are encoded together; texts that hold it are encoded whole.
+_BETWEEN = "\x1f"
+#: Parts in one such string.
+_STRING = 256
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+
+
+def _byte_letters() -> np.ndarray:
+    """The character that a byte-level vocabulary has for each byte; _BETWEEN stays."""
+    out = np.empty(256, "<u2")
+    out[_PLAIN] = _PLAIN
+    rest = np.setdiff1d(np.arange(256), _PLAIN)
+    out[rest] = 256 + np.arange(len(rest))
+    out[ord(_BETWEEN)] = ord(_BETWEEN)
+    return out
+
+
+_LETTERS = _byte_letters()
+
+
+def _joined(tokenizer):
+    """(a tokenizer for strings of parts in byte letters with _BETWEEN after each, the id it gives to that), or None.
+
+    Only where a part's ids are its merges alone: byte-level merges without normalization, chance or other special
+    tokens than those that texts are looked through for.
+    """
+    from tokenizers import Tokenizer
+
+    made = json.loads(tokenizer.to_str())
+    cut, model = made["pre_tokenizer"] or {}, made["model"]
+    simple = made["normalizer"] is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+    bare = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    if not (simple and bare and all(t["content"].startswith("<|") for t in made["added_tokens"])):
+        return None
+    mark = max(*model["vocab"].values(), *(t["id"] for t in made["added_tokens"])) + 1
+    model["vocab"][_BETWEEN] = mark
+    split = {"type": "Split", "pattern": {"String": _BETWEEN}, "behavior": "Isolated", "invert": False}
+    made |= {"pre_tokenizer": split, "post_processor": None, "decoder": None, "truncation": None, "padding": None, "added_tokens": []}
+    return Tokenizer.from_str(json.dumps(made)), mark
+
+
 class Encoder:
     """Ids of texts, as tokenizer.encode(text, add_special_tokens=False) gives them.
 
@@ -61,6 +103,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.joined = _joined(self.tokenizer) if spaced else None
         self.clear()
 
     def clear(self) -> None:
@@ -88,11 +131,25 @@ class Encoder:
         """Encode the new parts."""
         new, self.place.new = self.place.new, []
         if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            lengths, flat = self._together(new) if self.joined else self._alone(new)
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
             self.length, self.met = np.concatenate([self.length, lengths]), np.concatenate([self.met, np.zeros(len(new), np.int64)])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+            self.flat = np.concatenate([self.flat, flat])
+
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each part has, and all ids."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return lengths, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+
+    def _together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, from strings of many parts: most of a short part's time goes into an encoding of its own."""
+        tokenizer, mark = self.joined
+        strings = (_BETWEEN.join([*parts[i : i + _STRING], ""]).encode() for i in range(0, len(parts), _STRING))
+        letters = [_LETTERS[np.frombuffer(x, np.uint8)].tobytes().decode("utf-16-le") for x in strings]
+        found = np.fromiter(chain.from_iterable(e.ids for e in tokenizer.encode_batch_fast(letters, add_special_tokens=False)), np.uint32)
+        ends = np.flatnonzero(found == mark)
+        return np.diff(ends, prepend=-1) - 1, found[found != mark]
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of every text with `end` after them."""

@@ -23,6 +23,28 @@ def test_encoder_agrees_with_the_library(text):
         assert tokens.encoder(path, spaced).encode([text, "between", text], 7)[2].tolist() == want + [7]
 
 
+def test_parts_are_encoded_in_few_strings(monkeypatch):
+    """Parts of all letters that are cut, and controls: ids as the library's, from an encoding for hundreds of parts."""
+    tool, plain = tokens.Encoder(BYTES, True), Tokenizer.from_file(BYTES)
+    letters = "".join(chr(c) for c in range(0x180) if c not in (0x85, 0xA0) and not 0x1C <= c <= 0x1F)
+    odd = [letters, letters[::-1], "\x00\x00 \x7f\xad \t\n  don't  ", " ".join(letters), *(f"{a}x{b}" for a in letters for b in "é 7\x01'")]
+    want = [plain.encode(t, add_special_tokens=False).ids + [0] for t in odd]
+    asked = []
+    monkeypatch.setattr(tokens, "_STRING", 100)
+    monkeypatch.setattr(tool, "tokenizer", None)
+    made, mark = tool.joined
+
+    class Counted:
+        def encode_batch_fast(self, strings, **how):
+            asked.extend(strings)
+            return made.encode_batch_fast(strings, **how)
+
+    monkeypatch.setattr(tool, "joined", (Counted(), mark))
+    assert [x.tolist() for x in tool.encode(odd, 0)] == want
+    assert len(asked) == -(-len(tool.place) // 100)
+    assert tokens.Encoder(WORDS, False).joined is None
+
+
 def test_purging_keeps_ids_right(monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 50)
     tool, plain = tokens.Encoder(BYTES, True), Tokenizer.from_file(BYTES)
