@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import threading
 import uuid
 import zlib
 from collections.abc import Iterable
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -70,25 +70,25 @@ def _byte_letters() -> np.ndarray:
 _LETTERS = _byte_letters()
 
 
-def _joined(tokenizer):
+def _joined(path: str):
     """(a tokenizer for strings of parts in byte letters with _BETWEEN after each, the id it gives to that), or None.
 
     Only where a part's ids are its merges alone: byte-level merges without normalization, chance or other special
     tokens than those that texts are looked through for.
     """
-    from tokenizers import Tokenizer
-
-    made = json.loads(tokenizer.to_str())
-    cut, model = made["pre_tokenizer"] or {}, made["model"]
-    simple = made["normalizer"] is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
-    bare = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
-    if not (simple and bare and all(t["content"].startswith("<|") for t in made["added_tokens"])):
+    from tokenizers import AddedToken, Tokenizer
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel, Split
+
+    made = Tokenizer.from_file(path)
+    cut, model = made.pre_tokenizer, made.model
+    simple = made.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+    bare = isinstance(model, BPE) and not any((model.dropout, model.unk_token, model.continuing_subword_prefix, model.end_of_word_suffix, model.byte_fallback))
+    if not (simple and bare and all(t.content.startswith("<|") for t in made.get_added_tokens_decoder().values())):
         return None
-    mark = max(*model["vocab"].values(), *(t["id"] for t in made["added_tokens"])) + 1
-    model["vocab"][_BETWEEN] = mark
-    split = {"type": "Split", "pattern": {"String": _BETWEEN}, "behavior": "Isolated", "invert": False}
-    made |= {"pre_tokenizer": split, "post_processor": None, "decoder": None, "truncation": None, "padding": None, "added_tokens": []}
-    return Tokenizer.from_str(json.dumps(made)), mark
+    made.add_tokens([AddedToken(_BETWEEN, normalized=False)])
+    made.pre_tokenizer = Split(_BETWEEN, "isolated")
+    return made, made.token_to_id(_BETWEEN)
 
 
 class Encoder:
@@ -100,11 +100,16 @@ class Encoder:
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path, self.spaced = path, spaced
+        self.joined = _joined(path) if spaced else None
+        self.clear()
+
+    @cached_property
+    def tokenizer(self):
+        """The library's, for whole texts and, where nothing is joined, for parts."""
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
-        self.joined = _joined(self.tokenizer) if spaced else None
-        self.clear()
+        return Tokenizer.from_file(self.path)
 
     def clear(self) -> None:
         self.place = _Places()
