@@ -25,8 +25,8 @@ from .common import _BYTES, Rolling, lean, materialize, mix64, signed, spare, ta
 COLLECTION = 16_384
 #: Anchors with more different fragments than this have their windows counted one by one, over all executors.
 CROWDED = 512
-#: Bytes of one document looked at together.
-SEGMENT = 1 << 20
+#: Bytes whose windows are looked at together; no result depends on it, a worker's memory does, by some 130 bytes for each.
+SEGMENT = 1 << 18
 
 _U = np.uint64
 _GRAM, _LONG, _TWO = Rolling(0x8EBC6AF09C88C6E3), Rolling(0x589965CC75374CC3), Rolling(0x1D8E4E27C47D124F)

@@ -1,11 +1,12 @@
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
-from tessella.llm import minhash, substring, suffix
+from tessella.llm import common, minhash, substring, suffix
 from tessella.llm.graph import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -172,3 +173,22 @@ def test_very_long_text(spark):
     rows = spark.createDataFrame([(1, long), (2, "short " + long[100:700])], "doc_id long, text string")
     got = {r.doc_id: r for r in suffix.repeated_bytes(rows).collect()}
     assert got[1].n_removed == len(long) and got[2].n_removed == 600
+
+
+def test_segments_have_every_window_once_and_bound_memory(monkeypatch):
+    rng = np.random.default_rng(3)
+    data, offsets = rng.integers(97, 123, 2 << 20).astype(np.uint8), np.array([0, 7, 900_000, 900_150, 2 << 20])
+
+    def windows():
+        _, doc, _, start, count = suffix._fragments(data, offsets, 200)
+        return np.sort(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
+
+    want = np.concatenate([np.arange(a, max(a, b - 199)) for a, b in zip(offsets, offsets[1:])])
+    monkeypatch.setattr(suffix, "_GRAM", common.Rolling(suffix._GRAM.base))
+    tracemalloc.start()
+    suffix._fragments(data, offsets, 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(windows(), want) and peak < 64e6
+    monkeypatch.setattr(suffix, "SEGMENT", 5_000)
+    assert np.array_equal(windows(), want)
